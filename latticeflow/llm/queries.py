@@ -5,8 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import table
+from . import embeddings, sharding, simhash, url_filters, warc
+from .common import new_path, table
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    labels = table(spark, sf_dir, "labels")
+    bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(
+        F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
+    )
+    mined = url_filters.mine_rules(pages.select("page_id", "url").join(bad, "page_id"))
+    return url_filters.judge(pages, mined)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), out)
+    return warc.read(spark, out, payloads=False).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +36,53 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"),
+        "n_links",
+        F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
+    )
+
+
+def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.kd_shards(table(spark, sf_dir, "documents"), shards=8).select(
+        F.col("id").alias("doc_id"),
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op3_warc": op3_warc,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op7_kd_sharding": op7_kd_sharding,
 }
 
-ORACLE: dict[str, str] = {}
+# base32 is taken digit by digit: five bits of the SHA-1 at a time.
+_ORACLE_OP3 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages
+), d AS (
+  SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha,
+         min(page_id) OVER (PARTITION BY sha) AS first FROM p
+)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + (('0x' || substr(sha, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) % 32, 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+FROM d
+"""
+
+ORACLE: dict[str, str] = {
+    "op3_warc": _ORACLE_OP3,
+}
