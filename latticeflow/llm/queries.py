@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, sharding, simhash, url_filters, warc
+from . import decontaminate, embeddings, html_extract, packing, quality, sharding, simhash, toxicity, url_filters, warc
 from .common import new_path, table
 
 
@@ -19,6 +19,18 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, mined)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~toxicity.held_out("doc_id"))
+    scorer = toxicity.fit(docs, labels)
+    return toxicity.score(docs, scorer).select(
+        F.col("id").alias("doc_id"),
+        toxicity.held_out("id").alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), out)
@@ -46,6 +58,10 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "url", "text", "n_chars")
+
+
 def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(table(spark, sf_dir, "documents"), shards=8).select(
         F.col("id").alias("doc_id"),
@@ -58,12 +74,31 @@ def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "similarity")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_html_extraction": op6_html_extraction,
     "op7_kd_sharding": op7_kd_sharding,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_decontamination": op9_decontamination,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 # base32 is taken digit by digit: five bits of the SHA-1 at a time.
