@@ -21,6 +21,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Table
+
 MIN_REVISIT_BYTES = 0
 ROLL_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -143,16 +145,17 @@ def write(
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
+    keys = Table(rows.where(F.octet_length("payload") >= min_revisit_bytes).where("id is not null").select("id", "sha"), "digests")
     shared = (
-        rows.where(F.octet_length("payload") >= min_revisit_bytes)
-        .select("sha", "id")
-        .groupBy("sha")
-        .agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1 and first is not null")
-        .select("sha", "first")
+        keys.df.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first")
+    )
+    # Rows without a payload travel ahead of the records that they mark as
+    # revisits, so payloads are shuffled once, by range.
+    marks = keys.df.join(shared, "sha").where("first < id").select("id", "sha", "first").distinct()
+    rows = rows.select("id", "sha", F.lit(None).cast("long").alias("first"), "url", "payload").unionByName(
+        marks.select("id", "sha", "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     )
-    rows = rows.join(shared, "sha", "left").select("id", "first", "url", "sha", "payload")
-    order = ("id", "sha", "url")
+    order = ("id", "sha", F.col("first").isNull(), "url")
     dealt = rows.repartitionByRange(partitions, "id") if partitions else rows.repartitionByRange("id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,16 +163,23 @@ def write(
 
         ctx = TaskContext.get()
         files = _Roller(out, ctx.partitionId(), ctx.taskAttemptId(), roll_bytes)
-        last = None
+        last, target = None, None
         emit = lambda m: pa.RecordBatch.from_pylist([m])
         for batch in batches:
-            ids, firsts, urls, shas = (batch.column(i).to_pylist() for i in range(4))
+            ids, shas, firsts, urls = (batch.column(i).to_pylist() for i in range(4))
             for k in range(batch.num_rows):
                 key = (ids[k], shas[k])
-                first = firsts[k] if ids[k] is not None and firsts[k] is not None and (firsts[k] != ids[k] or key == last) else None
-                last = key
-                if done := files.add(page_record(ids[k], urls[k], batch.column(4)[k].as_py(), first)):
+                if firsts[k] is not None:
+                    last, target = key, firsts[k]
+                    continue
+                payload = batch.column(4)[k].as_py()
+                if key != last:
+                    target = None
+                if done := files.add(page_record(ids[k], urls[k], payload, target)):
                     yield emit(done)
+                if key != last and ids[k] is not None and len(payload) >= min_revisit_bytes:
+                    target = ids[k]  # what repeats this very row revisits it
+                last = key
         if done := files.close():
             yield emit(done)
 
