@@ -127,7 +127,8 @@ class _Page:
         """Close the innermost open element of names, unless one of stop is inside it."""
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] in names:
-                self._flush()
+                if self.stack[k][0] in BLOCK or self.stack[k][1]:
+                    self._flush()
                 del self.stack[k:]
                 return
             if self.stack[k][0] in stop:
