@@ -152,9 +152,12 @@ class Model:
 
 
 def train_linear(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.5, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by full-batch AdaGrad steps."""
-    w, b = np.zeros(x.shape[1]), 0.0
-    sum_w, sum_b = np.full(x.shape[1], 1e-8), 1e-8
+    """Logistic regression on soft labels by full-batch AdaGrad steps, over the
+    columns that some document uses; the others keep weight 0."""
+    used = np.flatnonzero(x.any(axis=0))
+    full, x = np.zeros(x.shape[1], np.float32), x[:, used].astype(np.float64)
+    w, b = np.zeros(len(used)), 0.0
+    sum_w, sum_b = np.full(len(used), 1e-8), 1e-8
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
         g = x.T @ (p - y) / len(y) + ridge * w
@@ -163,7 +166,8 @@ def train_linear(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float =
         sum_b += gb * gb
         w -= rate * g / np.sqrt(sum_w)
         b -= rate * gb / np.sqrt(sum_b)
-    return w.astype(np.float32), b
+    full[used] = w
+    return full, b
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
