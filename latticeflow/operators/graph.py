@@ -47,12 +47,19 @@ def pairs_within(nodes: DataFrame, distance: float, scale=(1.0, 1.0, 1.0)) -> Da
         sides[side] = nodes.select(
             F.col("tree").alias(f"tree_{side}"), F.col("node").alias(f"node_{side}"), *[F.col(c).alias(f"{side}{c}") for c in AXES], *[v.alias(f"k{c}") for v, c in zip(cell, AXES, strict=True)]
         )
-    near = sides["b"]
-    steps = F.array(*[F.lit(d).cast("long") for d in (-1, 0, 1)])
-    for c in AXES:
-        near = near.withColumn("_d", F.explode(steps)).withColumn(f"k{c}", F.col(f"k{c}") + F.col("_d")).drop("_d")
-    met = sides["a"].join(near, ["kx", "ky", "kz"]).where((F.col("tree_a") < F.col("tree_b")) & (_distance("a", "b", scale) <= distance))
-    return met.select("tree_a", "node_a", "tree_b", "node_b", *[f"{s}{c}" for s in "ab" for c in AXES], _distance("a", "b", scale).alias("distance"))
+    # A cell and half of its neighbours: every unordered pair of cells meets once.
+    half = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) >= (0, 0, 0)]
+    steps = F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for v, c in zip(o, AXES, strict=True)]) for o in half])
+    near = sides["b"].withColumn("_d", F.explode(steps))
+    near = near.select(*[c for c in near.columns if c[0] != "k" and c != "_d"], *[(F.col(f"k{c}") + F.col(f"_d.{c}")).alias(f"k{c}") for c in AXES], ((F.col("_d.x") == 0) & (F.col("_d.y") == 0) & (F.col("_d.z") == 0)).alias("_own"))
+    met = sides["a"].join(near, ["kx", "ky", "kz"]).where(
+        F.when(F.col("_own"), F.col("tree_a") < F.col("tree_b")).otherwise(F.col("tree_a") != F.col("tree_b")) & (_distance("a", "b", scale) <= distance)
+    )
+    turned = F.col("tree_a") > F.col("tree_b")
+    names = [("tree_a", "tree_b"), ("node_a", "node_b"), *[(f"a{c}", f"b{c}") for c in AXES]]
+    one = [F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in names]
+    two = [F.when(turned, F.col(a)).otherwise(F.col(b)).alias(b) for a, b in names]
+    return met.select(*one, *two, _distance("a", "b", scale).alias("distance"))
 
 
 def midpoints(pairs: DataFrame) -> DataFrame:
@@ -182,16 +189,18 @@ def subtree_sums(groups: DataFrame, values: DataFrame, value: str) -> DataFrame:
 
 def spanning_links(pairs: DataFrame) -> DataFrame:
     """Minimum spanning links between trees (Boruvka) out of closest pairs
-    (tree_a, tree_b, distance): each round every set takes its cheapest link."""
-    links = written(pairs.select("tree_a", "tree_b", "distance"), "links")
-    chosen = links.limit(0)
-    while True:
-        sets = components(chosen, "tree_a", "tree_b")
-        at = lambda df, c: df.join(sets.select(F.col("node").alias(c), F.col("component").alias(f"{c}_set")), c, "left").withColumn(f"{c}_set", F.coalesce(f"{c}_set", c))
-        open_ = at(at(links, "tree_a"), "tree_b").where("tree_a_set <> tree_b_set")
-        ends = open_.select("*", F.explode(F.array("tree_a_set", "tree_b_set")).alias("set"))
-        best = ends.groupBy("set").agg(F.min(F.struct("distance", "tree_a", "tree_b")).alias("m")).select("m.tree_a", "m.tree_b", "m.distance").distinct()
-        best = written(best, "chosen")
-        if best.isEmpty():
-            return chosen
-        chosen = written(chosen.unionByName(best).distinct(), "chosen")
+    (tree_a, tree_b, distance): each round every set takes its cheapest link,
+    then sets are merged and what lies inside one is dropped."""
+    links = written(pairs.select("tree_a", "tree_b", "distance", F.col("tree_a").alias("set_a"), F.col("tree_b").alias("set_b")), "links")
+    chosen = links.select("tree_a", "tree_b", "distance").limit(0)
+    while not links.isEmpty():
+        ends = links.select("*", F.explode(F.array("set_a", "set_b")).alias("set"))
+        best = ends.groupBy("set").agg(F.min(F.struct("distance", "tree_a", "tree_b", "set_a", "set_b")).alias("m"))
+        best = written(best.select("m.*").distinct(), "chosen")
+        chosen = chosen.unionByName(best.select("tree_a", "tree_b", "distance"))
+        sets = written(components(best, "set_a", "set_b"), "sets")
+        for c in ("set_a", "set_b"):
+            links = links.join(sets.select(F.col("node").alias(c), F.col("component").alias("_to")), c, "left")
+            links = links.withColumn(c, F.coalesce("_to", c)).drop("_to")
+        links = written(links.where("set_a <> set_b"), "links")
+    return chosen

@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,20 +150,45 @@ def tiles(vox: DataFrame, size: int) -> DataFrame:
     )
 
 
+def pack_chunk(a: np.ndarray) -> bytes:
+    """A dense block as bytes: 64-bit values in Fortran order, zstd."""
+    return zstandard.ZstdCompressor(level=1).compress(np.asarray(a, np.int64).tobytes(order="F"))
+
+
+def unpack_chunk(shape, data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int64).reshape(shape, order="F")
+
+
 def to_chunks(vox: DataFrame, shape) -> DataFrame:
-    """Voxels to dense chunks (CHUNK), 64-bit values in Fortran order. A chunk is
-    bounded by its shape; all-zero chunks are left out."""
+    """Voxels to dense chunks (CHUNK). Rows are dealt and sorted by chunk, so a
+    task holds one chunk at a time, whose size is that of its shape; all-zero
+    chunks are left out."""
     shape = Vec.of(shape)
     sides = tuple(shape)
+    kinds = pa.schema([("cx", pa.int64()), ("cy", pa.int64()), ("cz", pa.int64()), ("shape", pa.list_(pa.int32())), ("data", pa.binary())])
 
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        dense = np.zeros(sides, np.int64)
-        i = rows[list(AXES)].to_numpy() - np.array(key) * sides
-        dense[tuple(i.T)] = rows["v"].to_numpy()
-        return pd.DataFrame({"cx": [key[0]], "cy": [key[1]], "cz": [key[2]], "shape": [list(sides)], "data": [dense.tobytes(order="F")]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, dense = None, None
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"cx": key[0], "cy": key[1], "cz": key[2], "shape": list(sides), "data": pack_chunk(dense)}], schema=kinds)
 
-    keyed = vox.where("v <> 0").select(*chunk_key(shape), *AXES, F.col("v").cast("long").alias("v"))
-    return keyed.groupBy("cx", "cy", "cz").applyInPandas(pack, CHUNK)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            m = np.stack([b.column(i).to_numpy() for i in range(7)], axis=1)
+            cuts = np.flatnonzero((m[1:, :3] != m[:-1, :3]).any(axis=1)) + 1
+            for part in np.split(m, cuts):
+                if key is None or tuple(part[0, :3]) != key:
+                    if key is not None:
+                        yield flush()
+                    key, dense = tuple(int(v) for v in part[0, :3]), np.zeros(sides, np.int64)
+                dense[tuple((part[:, 3:6] - part[:, :3] * sides).T)] = part[:, 6]
+        if key is not None:
+            yield flush()
+
+    keyed = vox.where("v <> 0").select(*chunk_key(shape), *[F.col(a).cast("long").alias(a) for a in (*AXES, "v")])
+    return keyed.repartition("cx", "cy", "cz").sortWithinPartitions("cx", "cy", "cz").mapInArrow(run, CHUNK)
 
 
 def from_chunks(chunks: DataFrame) -> DataFrame:
@@ -172,7 +197,7 @@ def from_chunks(chunks: DataFrame) -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                a = np.frombuffer(r["data"], np.int64).reshape(r["shape"], order="F")
+                a = unpack_chunk(r["shape"], r["data"])
                 p = np.argwhere(a)
                 q = p + np.array((r["cx"], r["cy"], r["cz"])) * a.shape
                 yield pa.RecordBatch.from_pydict({"x": q[:, 0], "y": q[:, 1], "z": q[:, 2], "v": a[tuple(p.T)]})
@@ -188,7 +213,7 @@ def map_chunks(chunks: DataFrame, fn: Callable[[Box, np.ndarray], dict], schema:
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                a = np.frombuffer(r["data"], np.int64).reshape(r["shape"], order="F")
+                a = unpack_chunk(r["shape"], r["data"])
                 low = Vec(*(int(r[k]) * s for k, s in zip(("cx", "cy", "cz"), r["shape"], strict=True)))
                 rows.append({"cx": r["cx"], "cy": r["cy"], "cz": r["cz"]} | fn(Box(low, low + Vec(*r["shape"])), a))
             if rows:
@@ -206,12 +231,12 @@ def zip_chunks(source: DataFrame, target: DataFrame, fn: Callable[[np.ndarray |
     both = keyed.join(target.withColumnsRenamed({"shape": "t_shape", "data": "t_data"}), ["cx", "cy", "cz"], "full")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        load = lambda s, d: None if d is None else np.frombuffer(d, np.int64).reshape(s, order="F")
+        load = lambda s, d: None if d is None else unpack_chunk(s, d)
         for b in batches:
             rows = []
             for x in b.to_pylist():
                 got = np.asarray(fn(load(x["s_shape"], x["s_data"]), load(x["t_shape"], x["t_data"])), np.int64)
-                rows.append({"cx": x["cx"], "cy": x["cy"], "cz": x["cz"], "shape": list(got.shape), "data": got.tobytes(order="F")})
+                rows.append({"cx": x["cx"], "cy": x["cy"], "cz": x["cz"], "shape": list(got.shape), "data": pack_chunk(got)})
             if rows:
                 kinds = [("cx", pa.int64()), ("cy", pa.int64()), ("cz", pa.int64()), ("shape", pa.list_(pa.int32())), ("data", pa.binary())]
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
