@@ -76,5 +76,15 @@ def arrow_map(
     return df.mapInArrow(run, schema)
 
 
+#: Tables of these many bytes that lie in fewer files than there are cores are dealt
+#: anew: one row group is one task, whatever Python has to do with its rows.
+SPREAD_BYTES = (1 << 20, 256 << 20)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    cores = spark.sparkContext.defaultParallelism
+    if SPREAD_BYTES[0] < size < SPREAD_BYTES[1] and len(df.inputFiles()) < cores:
+        df = df.repartition(cores)
+    return df
