@@ -83,7 +83,7 @@ SPREAD_BYTES = (1 << 20, 256 << 20)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     cores = spark.sparkContext.defaultParallelism
     if SPREAD_BYTES[0] < size < SPREAD_BYTES[1] and len(df.inputFiles()) < cores:
         df = df.repartition(cores)
