@@ -26,34 +26,40 @@ RADIUS = 4
 SHINGLE = 4
 #: Buckets above this many distinct fingerprints are dealt as pairs of chunks.
 BUCKET = 16_384
-_ASCII_SPACE = bytes(range(9, 14)) + b" "
 
 
-def simhash(text: str | None, words: int = SHINGLE, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash of the word shingles of the whole text, repeats
-    included. Null, empty or blank text gives 0; a text of fewer words than a
-    shingle is one shingle."""
-    raw = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _shingle_hashes(raw: list[bytes], words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; a shorter sequence is one shingle."""
     n = len(raw)
     if not n:
-        return 0
+        return np.empty(0, "<u8")
     line = b" ".join(raw)
     if n <= words:
-        hashes = np.array([xxhash.xxh64_intdigest(line, seed)], dtype="<u8")
-    else:
-        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, n) + 1) - 1
-        starts = np.concatenate(([0], ends[: n - words] + 1)).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter(
-            [digest(line[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)],
-            dtype="<u8",
-        )
+        return np.array([xxhash.xxh64_intdigest(line, seed)], dtype="<u8")
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[: n - words] + 1)).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter([digest(line[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], dtype="<u8")
+
+
+def _majority(hashes: np.ndarray) -> bytes:
+    """Eight bytes: each bit as in over half of the hashes."""
     set_bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
         set_bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = set_bits * 2 > len(hashes)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return np.packbits(set_bits * 2 > len(hashes), bitorder="little").tobytes()
+
+
+def simhash(text: str | None, words: int = SHINGLE, seed: int = 42) -> int:
+    """Unsigned 64-bit SimHash of the word shingles of the whole text, repeats
+    included. Null, empty or blank text gives 0; a text of fewer words than a
+    shingle is one shingle."""
+    return int.from_bytes(_majority(_shingle_hashes(_words(text), words, seed)), "little")
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = SHINGLE) -> DataFrame:
@@ -262,9 +268,190 @@ def hex_fingerprint(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one row of each near-duplicate group: the row of smallest id.
+# --- groups by shingle similarity ------------------------------------------------
+
+#: Bits of the wide fingerprint, and the share of pairs at the threshold that its blocks may miss.
+WIDE, MISS = 256, 0.02
+
+
+def wide_simhash(hashes: np.ndarray) -> bytes:
+    """WIDE bits: the SimHash of the hashes and of three scrambled copies."""
+    parts = []
+    for k in range(WIDE // 64):
+        x = hashes
+        if k:
+            x = (x ^ np.uint64(0x9E3779B97F4A7C15 * k % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(32)
+        parts.append(_majority(x.astype("<u8")))
+    return b"".join(parts)
+
+
+def distances_at(similarity: float) -> tuple[int, int, float]:
+    """(sure, most, share): a pair whose fingerprints differ in at most sure bits
+    is almost surely above the similarity, beyond most it is below; share is the
+    chance that a bit differs at the similarity itself."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    mean, sd = WIDE * share, np.sqrt(WIDE * share * (1 - share))
+    return int(mean - 2.5 * sd), int(mean + 3 * sd), share
+
+
+def wide_blocks(n: int, share: float) -> np.ndarray:
+    """Bit positions of each block. Fingerprints this far apart have no pigeonhole
+    block that is long enough to tell documents apart, so blocks overlap: as many
+    as it takes for a pair at the threshold to agree on one."""
+    width = min(40, max(12, int(np.ceil(np.log2(max(n, 2)))) + 2))
+    many = int(np.ceil(np.log(MISS) / np.log1p(-((1 - share) ** width))))
+    g = np.random.default_rng(0)
+    return np.stack([g.choice(WIDE, width, replace=False) for _ in range(many)])
+
+
+def _wide_links(sure: int, most: int):
+    """Rows (bucket, ref, wide) sorted by bucket -> candidate pairs (a, b). In a
+    bucket what lies within sure bits of a pivot is left to the pivot's pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WIDE // 64), np.uint64)]
+
+        def far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+        def work(bucket, ref, wide):
+            if not len(ref):
+                return
+            starts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1))
+            sizes = np.diff(np.concatenate((starts, [len(ref)])))
+            left = np.repeat(sizes, sizes) - (np.arange(len(ref)) - np.repeat(starts, sizes))
+            small = np.repeat(sizes <= 16, sizes)
+            found = []
+            for gap in range(1, int(min(16, sizes.max()))):
+                a = np.flatnonzero(small & (left > gap))
+                a = a[far(wide[a], wide[a + gap]) <= most]
+                found.append(np.stack((ref[a], ref[a + gap]), 1))
+            for k in np.flatnonzero(sizes > 16).tolist():
+                free = np.arange(starts[k], starts[k] + sizes[k])
+                while len(free) > 1:
+                    p, rest = free[0], free[1:]
+                    d = far(wide[rest], wide[p])
+                    near = rest[d <= most]
+                    found.append(np.stack((np.full(len(near), ref[p]), ref[near]), 1))
+                    free = rest[d > sure]
+            pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+            pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, WIDE // 64)
+            now = [np.concatenate(x) for x in zip(held, (batch.column(0).to_numpy(), batch.column(1).to_numpy(), raw), strict=True)]
+            same = np.flatnonzero(now[0] != now[0][-1])
+            cut = int(same[-1]) + 1 if len(same) else 0
+            yield from work(*(x[:cut] for x in now))
+            held = [x[cut:] for x in now]
+        yield from work(*held)
+
+    return run
+
+
+def _similar(similarity: float, words: int):
+    """Rows (a, b, set_a, set_b) -> the pairs whose shingle sets are that similar."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        keep = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            keep.append(both >= similarity * (len(p) + len(q) - both))
+        chosen = pa.array(keep)
+        return {"a": batch.column(0).filter(chosen), "b": batch.column(1).filter(chosen)}
+
+    return run
+
+
+_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int | None = RADIUS
+) -> DataFrame:
+    """One row (id, component) per row of docs: component is the smallest id of
+    the rows that can be reached by links between texts whose sets of word
+    shingles have a Jaccard similarity of at least similarity and, unless radius
+    is null, by the links of near_duplicates.
+
+    Candidates come from blocks of wide fingerprints (all but about MISS of the
+    pairs right at the threshold, fewer above it) and every one is verified on
+    its whole shingle sets. Texts with equal fingerprints are one class. Null and
+    empty texts are alike. Repeated ids are rows of their own; rows without an id
+    take part by their fingerprints, but are not compared further. An empty table
+    gives an empty one.
+    """
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("fp", T.LongType()), T.StructField("wide", T.BinaryType())])
+
+    def mark(batch: pa.RecordBatch) -> dict:
+        raws = [_words(t) for t in batch.column(1).to_pylist()]
+        fps = np.array([int.from_bytes(_majority(_shingle_hashes(r, SHINGLE)), "little") for r in raws], np.uint64)
+        return {"id": batch.column(0), "fp": fps.view(np.int64), "wide": [wide_simhash(_shingle_hashes(r, words)) for r in raws]}
+
+    rows = Table(arrow_map(docs.select(id_col, text_col), mark, schema), "rows").df
+    classes = Table(
+        rows.groupBy("wide").agg(F.min("id").alias("least"), F.min("fp").alias("fp")).withColumn("ref", F.monotonically_increasing_id()), "wide"
+    ).df
+    sure, most, share = distances_at(similarity)
+    blocks = wide_blocks(classes.count(), share)
+    weights = np.uint64(1) << np.arange(blocks.shape[1], dtype=np.uint64)
+
+    def deal(batch: pa.RecordBatch) -> dict:
+        raw = batch.column(1).to_pylist()
+        bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little").astype(np.uint64)
+        keys = np.stack([(bits[:, at] * weights).sum(axis=1) | np.uint64(k << 44) for k, at in enumerate(blocks)], axis=1)
+        n = len(blocks)
+        return {"bucket": keys.view(np.int64).ravel(), "ref": np.repeat(batch.column(0).to_numpy(), n), "wide": [w for w in raw for _ in range(n)]}
+
+    dealt_schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("ref", T.LongType()), T.StructField("wide", T.BinaryType())])
+    dealt = arrow_map(classes.where("least is not null").select("ref", "wide"), deal, dealt_schema, slice_bytes=1 << 18)
+    near = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_wide_links(sure, most), _PAIR)
+    pairs = Table(near.distinct(), "pairs").df
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("ref")).distinct()
+    wanted = Table(ends.join(classes, "ref").select("ref", F.col("least").alias("id")), "wanted").df
+
+    def sets(batch: pa.RecordBatch) -> dict:
+        return {"ref": batch.column(0), "shingles": [np.unique(_shingle_hashes(_words(t), words)).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]}
+
+    set_schema = T.StructType([T.StructField("ref", T.LongType()), T.StructField("shingles", T.BinaryType())])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("ref", "text")
+    # An id that stands for several texts is compared by one of them.
+    shingled = Table(arrow_map(texts, sets, set_schema).groupBy("ref").agg(F.min("shingles").alias("shingles")), "shingles").df
+    side = lambda c: shingled.select(F.col("ref").alias(c), F.col("shingles").alias(f"set_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
+    links_ = arrow_map(both, _similar(similarity, words), _PAIR)
+    if radius is not None:
+        fps = Table(rows.select("fp").distinct(), "fps").df
+        close = components(links(fps, radius), "u", "v").select(F.col("node").alias("fp"), F.col("component").alias("group"))
+        # Every class of a Hamming group is linked to the group's first class.
+        of = rows.select("fp", "wide").distinct().join(classes.select("wide", "ref"), "wide")
+        grouped = of.join(close, "fp", "left").select(F.coalesce("group", "fp").alias("group"), "ref")
+        first = grouped.groupBy("group").agg(F.min("ref").alias("first"))
+        links_ = links_.unionByName(grouped.join(first, "group").where("ref <> first").select(F.col("ref").alias("a"), F.col("first").alias("b")))
+    found = components(Table(links_, "similar").df, "a", "b").withColumnRenamed("node", "ref")
+    named = found.join(classes.select("ref", "least"), "ref")
+    smallest = named.groupBy("component").agg(F.min("least").alias("smallest"))
+    by_ref = named.join(smallest, "component").select("ref", "smallest")
+    final = Table(classes.join(by_ref, "ref", "left").select("wide", F.coalesce("smallest", "least").alias("component")), "final").df
+    return rows.join(final, "wide").select("id", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **how) -> DataFrame:
+    """docs with one row of each near-duplicate group, the row of smallest id; with
+    similarity the groups of similar_documents, else those of near_duplicates.
     Rows without an id are kept. A repeated id is kept once per row."""
-    found = near_duplicates(docs, id_col, text_col, **how)
+    if similarity is None:
+        found = near_duplicates(docs, id_col, text_col, **how)
+    else:
+        found = similar_documents(docs, id_col, text_col, similarity=similarity, **how)
     gone = found.where(F.col("id") != F.col("component")).select(F.col("id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti")

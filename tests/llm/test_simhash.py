@@ -100,3 +100,41 @@ def test_every_close_pair_shares_a_block():
         for _ in range(300):
             flips = sum(1 << int(b) for b in g.choice(64, 4, replace=False))
             assert any(not mask & flips for mask in masks)
+
+
+def edited(words, share, g):
+    return " ".join(f"new{g.integers(10**9)}" if g.random() < share else w for w in words)
+
+
+def test_similar_documents_match_brute_force(spark):
+    g = np.random.default_rng(7)
+    rows = []
+    for k in range(25):
+        words = [f"w{g.integers(5000)}" for _ in range(int(g.integers(40, 400)))]
+        rows += [edited(words, s, g) for s in (0, 0, 0.003, 0.01, 0.02, 0.04, 0.08, 0.3)]
+    hot = [f"h{i}" for i in range(300)]
+    rows += [edited(hot, 0.004, g) for _ in range(150)]
+    rows += ["", None, "one two", "ONE  two", "one two three", "a b c d e f"]
+    docs = spark.createDataFrame([(i * 2, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, component string")
+    got = {r["id"] // 2: r["component"] // 2 for r in simhash.similar_documents(docs, radius=None).collect()}
+    sets = [set(simhash._shingle_hashes(simhash._words(t), 5).tolist()) for t in rows]
+    alike = [(a, b) for a in range(len(rows)) for b in range(a) if (not sets[a] and not sets[b]) or (sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+    assert sum(got[a] == got[b] for a, b in alike) >= 0.98 * len(alike)
+    least = list(range(len(rows)))
+    for _ in rows:
+        for a, b in alike:
+            least[a] = least[b] = min(least[a], least[b])
+    assert all(least[got[i]] == least[i] for i in range(len(rows)))  # nothing is joined that shouldn't be
+    both = {r["id"] // 2: r["component"] // 2 for r in simhash.similar_documents(docs).collect()}
+    plain = {r["id"] // 2: r["component"] // 2 for r in simhash.near_duplicates(docs).collect()}
+    assert all(both[i] == both[plain[i]] and both[i] == both[got[i]] for i in both)
+
+
+def test_similar_documents_odd_rows(spark):
+    long = "tok " * 100_000
+    rows = [(1, None), (2, ""), (4, "One two"), (5, "one TWO"), (5, "other words"), (None, "one two"), (7, long), (8, long + "end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(str((r["id"], r["component"])) for r in simhash.similar_documents(docs).collect())
+    assert got == sorted(map(str, [(1, 1), (2, 1), (4, 4), (5, 4), (5, 5), (None, 4), (7, 7), (8, 7)]))
+    assert simhash.similar_documents(docs.limit(0)).count() == 0
+    assert sorted(r["doc_id"] or -1 for r in simhash.keep_one(docs, similarity=0.8).collect()) == [-1, 1, 4, 7]
