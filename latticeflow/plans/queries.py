@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import affine, scalars
 from ..functions.geometry import AXES, Box, Vec, explode_chunks, hull_of, morton, parse_mag
 from ..operators import aggregate, catalog, graph, region, resample
+from ..sources import arrays, nml, volumes
+from ..streaming import slices
 from .lattice import edges, nodes, seg, sql, table, vox
+from .tables import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -791,3 +794,69 @@ def asof_join(spark, d):
 def tumbling_windows(spark, d):
     w = F.window("ts", "1 day")
     return table(spark, d, "events").groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+# --- formats: written to the shared folder and read back ----------------------
+
+_STORED = sql("vox", then="SELECT * FROM vox WHERE v <> 0")
+
+
+def _extent(v: DataFrame) -> tuple[int, int, int]:
+    found = aggregate.bounding_box(v).first()
+    return tuple(found[c] or 1 for c in ("x1", "y1", "z1"))
+
+
+@query(_STORED)
+def zarr3_roundtrip(spark, d):
+    v, path = vox(spark, d), new_path(spark, "zarr3")
+    arrays.write_zarr3(v, path, _extent(v), "uint16", (32, 32, 8), (128, 128, 8))
+    return arrays.read_array(spark, path)
+
+
+@query(_STORED)
+def zarr2_roundtrip(spark, d):
+    v, path = vox(spark, d), new_path(spark, "zarr2")
+    arrays.write_zarr2(v, path, _extent(v), "<u2", (128, 128, 8))
+    return arrays.read_array(spark, path)
+
+
+@query(_STORED)
+def wkw_roundtrip(spark, d):
+    path = new_path(spark, "wkw")
+    arrays.write_wkw(vox(spark, d), path, "uint8", 32, 4)
+    return arrays.read_array(spark, path)
+
+
+@query(_STORED)
+def cube_roundtrip(spark, d):
+    path = new_path(spark, "cubes")
+    volumes.write_cubes(vox(spark, d), path)
+    return volumes.read_cubes(spark, path)
+
+
+@query(sql("vox", then="SELECT x, y, z - (SELECT min(z) FROM vox WHERE v <> 0) AS z, v FROM vox WHERE v <> 0"))
+def tiff_roundtrip(spark, d):
+    """Slices are numbered by their place among the files, so z begins at 0."""
+    v, path = vox(spark, d), new_path(spark, "tiff")
+    volumes.write_tiff_slices(v, path, _extent(v)[:2])
+    return volumes.read_tiff_stack(spark, path)
+
+
+@query(sql("nodes", then="SELECT tree, node, x, y, z FROM nodes"))
+def nml_roundtrip(spark, d):
+    """Trees spread over files by their id; each file is one task's work."""
+    path = new_path(spark, "nml")
+    n = nodes(spark, d)
+    file = F.concat(F.lit("part"), F.floor(F.col("tree") / 1000).cast("string"))
+    nml.write(nml.assemble(n.withColumn("file", file).withColumnRenamed("node", "id"), edges(n).withColumn("file", file)), path)
+    back = nml.tables(nml.read(spark, path))["nodes"]
+    return back.select("tree", F.col("id").alias("node"), *[F.col(a).cast("long").alias(a) for a in AXES])
+
+
+@query(_STORED)
+def stream_ingest(spark, d):
+    """Slices as files of a stream, taken in three at a time."""
+    source, target = new_path(spark, "slices"), new_path(spark, "ingested")
+    vox(spark, d).repartition(8, "z").write.parquet(source)
+    slices.ingest(spark, source, target, new_path(spark, "progress"), 3).awaitTermination()
+    return spark.read.parquet(target).select(*AXES, "v")

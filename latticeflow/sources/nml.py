@@ -189,7 +189,7 @@ def assemble(nodes: DataFrame, edges: DataFrame, trees: DataFrame | None = None,
         nodes, edges = nodes.withColumn("file", F.lit(name)), edges.withColumn("file", F.lit(name))
     cols = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in nodes.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in node.fields]
     by = nodes.groupBy("file", "tree").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("nodes"))
-    ends = edges.groupBy("file", "tree").agg(F.sort_array(F.collect_list(F.struct(F.col("source").cast("long"), F.col("target").cast("long")))).alias("edges"))
+    ends = edges.groupBy("file", "tree").agg(F.sort_array(F.collect_list(F.struct(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target")))).alias("edges"))
     both = by.join(ends, ["file", "tree"], "left")
     if trees is not None:
         both = both.join(trees.select(F.col("id").alias("tree"), "group_id", "name", "color", "is_visible"), "tree", "left")
