@@ -20,6 +20,8 @@ from .common import Table
 BUCKETS = 1024
 #: A group of equal texts above this share of a shard's bytes is split into its documents.
 SPLIT_SHARE = 0.05
+#: A split that is off by more than this share of a shard is filled up from the next NEXT points.
+UNEVEN, NEXT = 0.001, 64
 #: Parts of a shard that number their rows independently.
 SLOT_PARTS = 256
 DIMS = ("size", "lang", "source")
@@ -34,6 +36,18 @@ class Node:
     dim: int = 0
 
 
+@dataclass
+class Boundary:
+    """Points up to (key, h) go left, the last only if inclusive; moved ones go left too."""
+
+    key: int = 0
+    h: int = 0
+    inclusive: bool = False
+    short: int = 0  # bytes that the left lacks without the last point
+    over: int = 0  # and has too many with it
+    moved: tuple[int, ...] = ()
+
+
 @dataclass
 class Search:
     """Where a node's median lies: values of key below lo are known to be left."""
@@ -44,7 +58,7 @@ class Search:
     hi: int
     below: int = 0
     first_key: int | None = None  # the median's first key, once known
-    done: tuple[int, int, bool] | None = None
+    done: Boundary | None = None
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -65,8 +79,8 @@ def _pick(values: list, node: Column, kind: str) -> Column:
     return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), node)
 
 
-def _medians(points: DataFrame, nodes: list[Node], targets: list[float]) -> list[tuple[int, int, bool]]:
-    """For each node the boundary (key, h, inclusive): points up to it go left."""
+def _medians(points: DataFrame, nodes: list[Node], targets: list[float]) -> list[Boundary]:
+    """The weighted median of each node along its dimension."""
     key = F.element_at(F.array(*DIMS), _pick([n.dim + 1 for n in nodes], F.col("node"), "int"))
     rows = points.withColumn("key", key)
     bounds = rows.groupBy("node").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
@@ -99,8 +113,21 @@ def _medians(points: DataFrame, nodes: list[Node], targets: list[float]) -> list
                 s.first_key, s.lo, s.hi = s.lo, 0, (1 << 63) - 1
             else:
                 left_short, right_short = s.target - s.below, s.below + r["w"] - s.target
-                s.done = (s.first_key, s.lo, right_short <= left_short)
-    return [found[i].done if i in found else (0, 0, False) for i in range(len(nodes))]
+                s.done = Boundary(s.first_key, s.lo, right_short <= left_short, int(left_short), int(right_short))
+    return [found[i].done if i in found else Boundary() for i in range(len(nodes))]
+
+
+def _filled(points: DataFrame, dim: str, node: int, b: Boundary) -> Boundary:
+    """A better boundary where one document is heavy for its node: it goes right,
+    and of the next NEXT points in order those that still fit go left."""
+    after = (F.col(dim) > b.key) | ((F.col(dim) == b.key) & (F.col("h") > b.h))
+    rows = points.where((F.col("node") == node) & after).orderBy(dim, "h").limit(NEXT).select("h", "weight").collect()
+    room, moved = b.short, []
+    for r in sorted(rows, key=lambda r: (-r["weight"], r["h"])):
+        if r["weight"] <= room:
+            room -= r["weight"]
+            moved.append(r["h"])
+    return Boundary(b.key, b.h, False, room, b.over, tuple(moved)) if room < min(b.short, b.over) else b
 
 
 def split_points(points: DataFrame, shards: int) -> DataFrame:
@@ -120,6 +147,9 @@ def split_points(points: DataFrame, shards: int) -> DataFrame:
                 n.total = extents[i]["total"]
                 n.dim = max(range(len(DIMS)), key=lambda k: (extents[i][DIMS[k]] / whole[DIMS[k]], -k))
         split = _medians(points, nodes, [n.total * ((n.shards + 1) // 2) / n.shards for n in nodes])
+        for i, (n, b) in enumerate(zip(nodes, split, strict=True)):
+            if n.shards > 1 and min(b.short, b.over) > UNEVEN * n.total / n.shards:
+                split[i] = _filled(points, DIMS[n.dim], i, b)
         after: list[Node] = []
         left_of, right_of = [], []
         for n in nodes:
@@ -131,8 +161,11 @@ def split_points(points: DataFrame, shards: int) -> DataFrame:
                 after.append(Node(n.first + half, n.shards - half))
         node = F.col("node")
         key = F.element_at(F.array(*DIMS), _pick([n.dim + 1 for n in nodes], node, "int"))
-        b1, b2, incl = (_pick([b[k] for b in split], node, kind) for k, kind in enumerate(("long", "long", "boolean")))
+        b1, b2, incl = (_pick([getattr(b, k) for b in split], node, kind) for k, kind in (("key", "long"), ("h", "long"), ("inclusive", "boolean")))
         left = (key < b1) | ((key == b1) & ((F.col("h") < b2) | ((F.col("h") == b2) & incl)))
+        for i, b in enumerate(split):
+            if b.moved:
+                left = left | ((node == i) & F.col("h").isin(*b.moved))
         # Written, since a plan that nests every level's choice grows without bound.
         points = Table(
             points.withColumn("node", F.when(left, _pick(left_of, node, "int")).otherwise(_pick(right_of, node, "int"))),
