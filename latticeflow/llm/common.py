@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.tables import new_path
 
+
 class Table:
     """A Parquet table in the shared folder; writing it cuts the lineage."""
 

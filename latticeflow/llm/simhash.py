@@ -272,6 +272,9 @@ def hex_fingerprint(fp) -> F.Column:
 
 #: Bits of the wide fingerprint, and the share of pairs at the threshold that its blocks may miss.
 WIDE, MISS = 256, 0.02
+_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+#: Documents of a candidate group that one task compares; larger groups are compared as pairs of chunks.
+GROUP = 4_000
 
 
 def wide_simhash(hashes: np.ndarray) -> bytes:
@@ -287,13 +290,12 @@ def wide_simhash(hashes: np.ndarray) -> bytes:
     return b"".join(parts)
 
 
-def distances_at(similarity: float) -> tuple[int, int, float]:
-    """(sure, most, share): a pair whose fingerprints differ in at most sure bits
-    is almost surely above the similarity, beyond most it is below; share is the
-    chance that a bit differs at the similarity itself."""
+def distance_at(similarity: float) -> tuple[int, float]:
+    """(most, share): a pair whose fingerprints differ in more than most bits is
+    below the similarity; share is the chance that a bit differs right at it."""
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     mean, sd = WIDE * share, np.sqrt(WIDE * share * (1 - share))
-    return int(mean - 2.5 * sd), int(mean + 3 * sd), share
+    return int(mean + 3 * sd), share
 
 
 def wide_blocks(n: int, share: float) -> np.ndarray:
@@ -306,36 +308,69 @@ def wide_blocks(n: int, share: float) -> np.ndarray:
     return np.stack([g.choice(WIDE, width, replace=False) for _ in range(many)])
 
 
-def _wide_links(sure: int, most: int):
-    """Rows (bucket, ref, wide) sorted by bucket -> candidate pairs (a, b). In a
-    bucket what lies within sure bits of a pivot is left to the pivot's pairs."""
+def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WIDE // 64), np.uint64)]
 
-        def far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+def spanning_wide(wide: np.ndarray, label: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Pairs within most bits that connect the rows of wide as all such pairs
+    would; rows of equal label are connected already and need no pair."""
+    names, spot = np.unique(label, return_inverse=True)
+    parent, pairs, balls, free = list(range(len(names))), [], [], np.arange(len(wide))
 
-        def work(bucket, ref, wide):
+    def root(x: int) -> int:
+        k = int(spot[x])
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    def join(x: int, y: int) -> None:
+        a, b = root(x), root(y)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            pairs.append((x, y))
+
+    while len(free):
+        p = int(free[0])
+        d = _far(wide[free], wide[p])
+        ball = free[d <= most]
+        for x in ball[1:].tolist():
+            join(p, x)
+        for other in balls:
+            if root(int(other[0])) != root(p):
+                for x in ball.tolist():
+                    hit = np.flatnonzero(_far(wide[other], wide[x]) <= most)
+                    if len(hit):
+                        join(x, int(other[hit[0]]))
+                        break
+        balls.append(ball)
+        free = free[d > most]
+    return pairs
+
+
+def _wide_links(most: int):
+    """Rows (bucket, ref, label, wide) sorted by bucket and ref -> pairs (a, b)
+    within most bits that connect each bucket; never all pairs of a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [*[np.empty(0, np.int64)] * 3, np.empty((0, WIDE // 64), np.uint64)]
+
+        def work(bucket, ref, label, wide):
             if not len(ref):
                 return
             starts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1))
             sizes = np.diff(np.concatenate((starts, [len(ref)])))
             left = np.repeat(sizes, sizes) - (np.arange(len(ref)) - np.repeat(starts, sizes))
-            small = np.repeat(sizes <= 16, sizes)
+            small = np.repeat(sizes <= 4, sizes)
             found = []
-            for gap in range(1, int(min(16, sizes.max()))):
+            for gap in range(1, int(min(4, sizes.max()))):
                 a = np.flatnonzero(small & (left > gap))
-                a = a[far(wide[a], wide[a + gap]) <= most]
+                a = a[(label[a] != label[a + gap]) & (_far(wide[a], wide[a + gap]) <= most)]
                 found.append(np.stack((ref[a], ref[a + gap]), 1))
-            for k in np.flatnonzero(sizes > 16).tolist():
-                free = np.arange(starts[k], starts[k] + sizes[k])
-                while len(free) > 1:
-                    p, rest = free[0], free[1:]
-                    d = far(wide[rest], wide[p])
-                    near = rest[d <= most]
-                    found.append(np.stack((np.full(len(near), ref[p]), ref[near]), 1))
-                    free = rest[d > sure]
+            for k in np.flatnonzero(sizes > 4).tolist():
+                at = slice(int(starts[k]), int(starts[k] + sizes[k]))
+                found.append(ref[at][np.array(spanning_wide(wide[at], label[at], most), np.int64).reshape(-1, 2)])
             pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
             pairs = np.unique(np.sort(pairs, axis=1), axis=0)
             if len(pairs):
@@ -344,8 +379,8 @@ def _wide_links(sure: int, most: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, WIDE // 64)
-            now = [np.concatenate(x) for x in zip(held, (batch.column(0).to_numpy(), batch.column(1).to_numpy(), raw), strict=True)]
+            raw = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(-1, WIDE // 64)
+            now = [np.concatenate(x) for x in zip(held, (*(batch.column(i).to_numpy() for i in range(3)), raw), strict=True)]
             same = np.flatnonzero(now[0] != now[0][-1])
             cut = int(same[-1]) + 1 if len(same) else 0
             yield from work(*(x[:cut] for x in now))
@@ -355,22 +390,103 @@ def _wide_links(sure: int, most: int):
     return run
 
 
-def _similar(similarity: float, words: int):
-    """Rows (a, b, set_a, set_b) -> the pairs whose shingle sets are that similar."""
+def _candidate_groups(classes: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) of the classes (ref, wide) that blocks connect.
 
-    def run(batch: pa.RecordBatch) -> dict:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(both >= similarity * (len(p) + len(q) - both))
-        chosen = pa.array(keep)
-        return {"a": batch.column(0).filter(chosen), "b": batch.column(1).filter(chosen)}
+    The first blocks go first: most of a large group is one component after
+    them, and the other blocks only add what joins two components."""
+    most, share = distance_at(similarity)
+    blocks = wide_blocks(classes.count(), share)
+    weights = np.uint64(1) << np.arange(blocks.shape[1], dtype=np.uint64)
+    longs = [T.StructField(n, T.LongType()) for n in ("bucket", "ref", "label")]
+    schema = T.StructType([*longs, T.StructField("wide", T.BinaryType())])
+
+    def pairs(labelled: DataFrame, some: range) -> DataFrame:
+        def deal(batch: pa.RecordBatch) -> dict:
+            raw = batch.column(2).to_pylist()
+            bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little").astype(np.uint64)
+            keys = np.stack([(bits[:, blocks[k]] * weights).sum(axis=1) | np.uint64(k << 44) for k in some], axis=1)
+            ref, label = (np.repeat(batch.column(i).to_numpy(), len(some)) for i in range(2))
+            return {"bucket": keys.view(np.int64).ravel(), "ref": ref, "label": label, "wide": [w for w in raw for _ in some]}
+
+        dealt = arrow_map(labelled.select("ref", "label", "wide"), deal, schema, slice_bytes=1 << 17)
+        return dealt.repartition("bucket").sortWithinPartitions("bucket", "ref").mapInArrow(_wide_links(most), _PAIR)
+
+    first = max(4, len(blocks) // 8)
+    begun = Table(components(pairs(classes.withColumn("label", F.col("ref")), range(first)), "a", "b"), "begun").df
+    labelled = classes.join(begun.withColumnRenamed("node", "ref"), "ref", "left").withColumn("label", F.coalesce("component", "ref"))
+    more = pairs(labelled, range(first, len(blocks)))
+    return components(more.unionByName(begun.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b")
+
+
+def connect_similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of sets with at least this Jaccard similarity that connect them as
+    all such pairs would. An inverted index gives one set's overlap with all
+    others at once. A set that a pivot reaches needs no look of its own while it
+    is in the largest component: a link between two components has an end outside."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    values, spot = np.unique(flat, return_inverse=True)
+    members = owner[np.argsort(spot, kind="stable")]
+    ends = np.cumsum(np.bincount(spot, minlength=len(values)))
+    begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    firsts = np.concatenate(([0], np.cumsum(sizes)))
+    parent, pairs = np.arange(n), []
 
-    return run
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = int(parent[k])
+        return k
 
+    def look(x: int) -> np.ndarray:
+        at = spot[firsts[x] : firsts[x + 1]]
+        both = np.bincount(np.concatenate([members[begins[v] : ends[v]] for v in at]), minlength=n) if len(at) else np.where(sizes == 0, 1, 0)
+        alike = both >= similarity * (sizes[x] + sizes - both) if len(at) else both > 0
+        hits = np.flatnonzero(alike)
+        for y in hits.tolist():
+            a, b = root(x), root(y)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                pairs.append((x, y))
+        return hits
+
+    common = np.array([(ends - begins)[spot[firsts[x] : firsts[x + 1]]].mean() if sizes[x] else 0 for x in range(n)])
+    reached, looked = np.zeros(n, bool), np.zeros(n, bool)
+    for x in np.argsort(-common, kind="stable").tolist():
+        if not reached[x]:
+            reached[look(x)] = True
+            looked[x] = True
+    roots = np.array([root(k) for k in range(n)])
+    largest = np.bincount(roots, minlength=n).argmax()
+    for x in np.flatnonzero((roots != largest) & ~looked).tolist():
+        look(x)
+    return pairs
 
-_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+def _verified(similarity: float):
+    """Rows (group, i, j, ref, shingles) sorted by group, i, j -> connecting pairs (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, refs, sets = None, [], []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            pairs = connect_similar(sets, similarity) if len(sets) > 1 else []
+            if pairs:
+                yield pa.RecordBatch.from_pydict({"a": pa.array([refs[x] for x, _ in pairs], pa.int64()), "b": pa.array([refs[y] for _, y in pairs], pa.int64())})
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            for k, ref in enumerate(batch.column(3).to_pylist()):
+                if keys[k] != key:
+                    yield from flush()
+                    key, refs, sets = keys[k], [], []
+                refs.append(ref)
+                sets.append(np.frombuffer(batch.column(4)[k].as_py(), "<u8"))
+        yield from flush()
+
+    return run
 
 
 def similar_documents(
@@ -381,9 +497,9 @@ def similar_documents(
     shingles have a Jaccard similarity of at least similarity and, unless radius
     is null, by the links of near_duplicates.
 
-    Candidates come from blocks of wide fingerprints (all but about MISS of the
-    pairs right at the threshold, fewer above it) and every one is verified on
-    its whole shingle sets. Texts with equal fingerprints are one class. Null and
+    Candidate groups come from blocks of wide fingerprints (which miss about MISS
+    of the pairs right at the threshold and fewer above it); within a group links
+    are exact, on whole shingle sets. Texts with equal fingerprints are one class. Null and
     empty texts are alike. Repeated ids are rows of their own; rows without an id
     take part by their fingerprints, but are not compared further. An empty table
     gives an empty one.
@@ -401,34 +517,25 @@ def similar_documents(
     classes = Table(
         rows.groupBy("wide").agg(F.min("id").alias("least"), F.min("fp").alias("fp")).withColumn("ref", F.monotonically_increasing_id()), "wide"
     ).df
-    sure, most, share = distances_at(similarity)
-    blocks = wide_blocks(classes.count(), share)
-    weights = np.uint64(1) << np.arange(blocks.shape[1], dtype=np.uint64)
-
-    def deal(batch: pa.RecordBatch) -> dict:
-        raw = batch.column(1).to_pylist()
-        bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little").astype(np.uint64)
-        keys = np.stack([(bits[:, at] * weights).sum(axis=1) | np.uint64(k << 44) for k, at in enumerate(blocks)], axis=1)
-        n = len(blocks)
-        return {"bucket": keys.view(np.int64).ravel(), "ref": np.repeat(batch.column(0).to_numpy(), n), "wide": [w for w in raw for _ in range(n)]}
-
-    dealt_schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("ref", T.LongType()), T.StructField("wide", T.BinaryType())])
-    dealt = arrow_map(classes.where("least is not null").select("ref", "wide"), deal, dealt_schema, slice_bytes=1 << 18)
-    near = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_wide_links(sure, most), _PAIR)
-    pairs = Table(near.distinct(), "pairs").df
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("ref")).distinct()
-    wanted = Table(ends.join(classes, "ref").select("ref", F.col("least").alias("id")), "wanted").df
+    found = _candidate_groups(classes.where("least is not null").select("ref", "wide"), similarity)
+    groups = Table(found.select(F.col("node").alias("ref"), F.col("component").alias("group")), "candidates").df
+    wanted = Table(groups.join(classes, "ref").select("ref", "group", F.col("least").alias("id")), "wanted").df
 
     def sets(batch: pa.RecordBatch) -> dict:
-        return {"ref": batch.column(0), "shingles": [np.unique(_shingle_hashes(_words(t), words)).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]}
+        found = [np.unique(_shingle_hashes(_words(t), words)).astype("<u8").tobytes() for t in batch.column(2).to_pylist()]
+        return {"ref": batch.column(0), "group": batch.column(1), "shingles": found}
 
-    set_schema = T.StructType([T.StructField("ref", T.LongType()), T.StructField("shingles", T.BinaryType())])
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("ref", "text")
+    set_schema = T.StructType([T.StructField("ref", T.LongType()), T.StructField("group", T.LongType()), T.StructField("shingles", T.BinaryType())])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("ref", "group", "text")
     # An id that stands for several texts is compared by one of them.
-    shingled = Table(arrow_map(texts, sets, set_schema).groupBy("ref").agg(F.min("shingles").alias("shingles")), "shingles").df
-    side = lambda c: shingled.select(F.col("ref").alias(c), F.col("shingles").alias(f"set_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
-    links_ = arrow_map(both, _similar(similarity, words), _PAIR)
+    shingled = Table(arrow_map(texts, sets, set_schema).groupBy("ref", "group").agg(F.min("shingles").alias("shingles")), "shingles").df
+    chunks = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) * 2 / GROUP).cast("int").alias("c"))
+    many = F.when(F.col("c") > 2, F.col("c")).otherwise(1)  # two chunks fit one task
+    placed = shingled.join(chunks, "group").withColumn("k", F.pmod(F.xxhash64("ref"), many).cast("int"))
+    placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), many - 1)))
+    compared = placed.select("group", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "ref", "shingles")
+    ordered = compared.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "ref")
+    links_ = ordered.mapInArrow(_verified(similarity), _PAIR)
     if radius is not None:
         fps = Table(rows.select("fp").distinct(), "fps").df
         close = components(links(fps, radius), "u", "v").select(F.col("node").alias("fp"), F.col("component").alias("group"))

@@ -138,3 +138,27 @@ def test_similar_documents_odd_rows(spark):
     assert got == sorted(map(str, [(1, 1), (2, 1), (4, 4), (5, 4), (5, 5), (None, 4), (7, 7), (8, 7)]))
     assert simhash.similar_documents(docs.limit(0)).count() == 0
     assert sorted(r["doc_id"] or -1 for r in simhash.keep_one(docs, similarity=0.8).collect()) == [-1, 1, 4, 7]
+
+
+@given(st.lists(st.sets(st.integers(0, 30), max_size=12), min_size=2, max_size=25), st.sampled_from([0.5, 0.8]))
+@settings(max_examples=100, deadline=None)
+def test_connect_similar_is_exact(sets, similarity):
+    pairs = simhash.connect_similar([np.array(sorted(s), np.uint64) for s in sets], similarity)
+    alike = lambda a, b: (not a and not b) or (bool(a and b) and len(a & b) >= similarity * len(a | b))
+    assert all(alike(sets[x], sets[y]) for x, y in pairs)
+    want, got = list(range(len(sets))), list(range(len(sets)))
+    every = [(x, y) for x in range(len(sets)) for y in range(x) if alike(sets[x], sets[y])]
+    for _ in sets:
+        for least, links in ((want, every), (got, pairs)):
+            for x, y in links:
+                least[x] = least[y] = min(least[x], least[y])
+    assert got == want
+
+
+def test_large_candidate_groups_are_compared_in_chunks(spark, monkeypatch):
+    g = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, edited(base, g.choice([0.005, 0.02, 0.05]), g)) for i in range(120)], "doc_id long, text string")
+    whole = sorted(map(tuple, simhash.similar_documents(docs, radius=None).collect()))
+    monkeypatch.setattr(simhash, "GROUP", 20)
+    assert sorted(map(tuple, simhash.similar_documents(docs, radius=None).collect())) == whole
