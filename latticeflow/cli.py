@@ -38,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     add("check-equality", "source", "target", **layer)
     add("compress", "target", **layer)
     add("convert", "source", "target", category={"default": "color"}, dtype={"default": "uint8"}, downsample={"action": "store_true"}, layer_name={"default": "color"})
-    add("convert-knossos", "source", "target", dtype={"default": "uint8"}, layer_name={"default": "color"})
+    add("convert-cubes", "source", "target", dtype={"default": "uint8"}, layer_name={"default": "color"})
     add("convert-raw", "source", "target", shape={"type": _vec, "required": True}, dtype={"default": "uint8"}, order={"default": "F"}, flip_axes={"default": ""}, layer_name={"default": "color"})
     add("convert-zarr", "source", "target", category={"default": "color"}, dtype={"default": "uint32"}, layer_name={"default": "color"})
     add("copy-dataset", "source", "target", **target)
@@ -60,7 +60,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         ds = Dataset.from_images(spark, a.source, a.target, a.layer_name, a.category, a.dtype)
         if a.downsample:
             ds.downsample()
-    elif a.command == "convert-knossos":
+    elif a.command == "convert-cubes":
         found = volumes.cube_list(spark, a.source).agg({"x": "max", "y": "max", "z": "max"}).first()
         high = [(found[f"max({c})"] + 1) * volumes.CUBE for c in "xyz"]
         Dataset(spark, a.target).write_layer(a.layer_name, "color", volumes.read_cubes(spark, a.source, a.dtype), Box.of(0, high), dtype=a.dtype)
