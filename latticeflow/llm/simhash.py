@@ -275,6 +275,9 @@ WIDE, MISS = 256, 0.02
 _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 #: Documents of a candidate group that one task compares; larger groups are compared as pairs of chunks.
 GROUP = 4_000
+#: Texts of at most so many distinct shingles also get exact keys: fingerprints of
+#: few hashes differ in more bits than distance_at says.
+SHORT = 80
 
 
 def wide_simhash(hashes: np.ndarray) -> bytes:
@@ -290,6 +293,12 @@ def wide_simhash(hashes: np.ndarray) -> bytes:
     return b"".join(parts)
 
 
+def prefix_of(shingles: np.ndarray, similarity: float) -> np.ndarray:
+    """The first hashes of a sorted set, as many as it takes for any two sets of at
+    least this Jaccard similarity to have one of them in common."""
+    return shingles[: len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1]
+
+
 def distance_at(similarity: float) -> tuple[int, float]:
     """(most, share): a pair whose fingerprints differ in more than most bits is
     below the similarity; share is the chance that a bit differs right at it."""
@@ -497,26 +506,33 @@ def similar_documents(
     shingles have a Jaccard similarity of at least similarity and, unless radius
     is null, by the links of near_duplicates.
 
-    Candidate groups come from blocks of wide fingerprints (which miss about MISS
-    of the pairs right at the threshold and fewer above it); within a group links
-    are exact, on whole shingle sets. Texts with equal fingerprints are one class. Null and
+    Candidate groups come from blocks of wide fingerprints of the shingle sets
+    (which miss about MISS of the pairs right at the threshold and fewer above it)
+    and, between texts of at most SHORT distinct shingles, from shared prefixes,
+    which miss none; within a group links are exact, on whole shingle sets. Texts
+    with equal fingerprints are one class. Null and
     empty texts are alike. Repeated ids are rows of their own; rows without an id
     take part by their fingerprints, but are not compared further. An empty table
     gives an empty one.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("fp", T.LongType()), T.StructField("wide", T.BinaryType())])
+    binary = [T.StructField(n, T.BinaryType()) for n in ("wide", "short")]
+    schema = T.StructType([T.StructField("id", kind), T.StructField("fp", T.LongType()), *binary])
 
     def mark(batch: pa.RecordBatch) -> dict:
         raws = [_words(t) for t in batch.column(1).to_pylist()]
         fps = np.array([int.from_bytes(_majority(_shingle_hashes(r, SHINGLE)), "little") for r in raws], np.uint64)
-        return {"id": batch.column(0), "fp": fps.view(np.int64), "wide": [wide_simhash(_shingle_hashes(r, words)) for r in raws]}
+        wide, short = [], []
+        for r in raws:
+            held = np.unique(_shingle_hashes(r, words))  # the sets that are verified
+            wide.append(wide_simhash(held))
+            short.append(held.tobytes() if len(held) <= SHORT else None)
+        return {"id": batch.column(0), "fp": fps.view(np.int64), "wide": wide, "short": short}
 
     rows = Table(arrow_map(docs.select(id_col, text_col), mark, schema), "rows").df
-    classes = Table(
-        rows.groupBy("wide").agg(F.min("id").alias("least"), F.min("fp").alias("fp")).withColumn("ref", F.monotonically_increasing_id()), "wide"
-    ).df
+    firsts = [F.min(c).alias(n) for c, n in (("id", "least"), ("fp", "fp"), ("short", "short"))]
+    classes = Table(rows.groupBy("wide").agg(*firsts).withColumn("ref", F.monotonically_increasing_id()), "wide").df
     found = _candidate_groups(classes.where("least is not null").select("ref", "wide"), similarity)
     groups = Table(found.select(F.col("node").alias("ref"), F.col("component").alias("group")), "candidates").df
     wanted = Table(groups.join(classes, "ref").select("ref", "group", F.col("least").alias("id")), "wanted").df
@@ -528,8 +544,19 @@ def similar_documents(
     set_schema = T.StructType([T.StructField("ref", T.LongType()), T.StructField("group", T.LongType()), T.StructField("shingles", T.BinaryType())])
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("ref", "group", "text")
     # An id that stands for several texts is compared by one of them.
-    shingled = Table(arrow_map(texts, sets, set_schema).groupBy("ref", "group").agg(F.min("shingles").alias("shingles")), "shingles").df
-    chunks = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) * 2 / GROUP).cast("int").alias("c"))
+    by_blocks = arrow_map(texts, sets, set_schema).groupBy("ref", "group").agg(F.min("shingles").alias("shingles"))
+
+    def keys(batch: pa.RecordBatch) -> dict:
+        raw = batch.column(1).to_pylist()
+        found = [prefix_of(np.frombuffer(x, "<u8"), similarity) for x in raw]
+        many = [len(x) for x in found]
+        group = np.concatenate([np.empty(0, "<u8"), *found]).view(np.int64)
+        return {"ref": np.repeat(batch.column(0).to_numpy(), many), "group": group, "shingles": [x for x, n in zip(raw, many, strict=True) for _ in range(n)]}
+
+    short = classes.where("least is not null and short is not null").select("ref", "short")
+    by_prefix = arrow_map(short, keys, set_schema, slice_bytes=1 << 17)
+    shingled = Table(by_blocks.unionByName(by_prefix), "shingles").df
+    chunks = shingled.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group", F.ceil(F.col("n") * 2 / GROUP).cast("int").alias("c"))
     many = F.when(F.col("c") > 2, F.col("c")).otherwise(1)  # two chunks fit one task
     placed = shingled.join(chunks, "group").withColumn("k", F.pmod(F.xxhash64("ref"), many).cast("int"))
     placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), many - 1)))

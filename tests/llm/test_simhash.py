@@ -162,3 +162,39 @@ def test_large_candidate_groups_are_compared_in_chunks(spark, monkeypatch):
     whole = sorted(map(tuple, simhash.similar_documents(docs, radius=None).collect()))
     monkeypatch.setattr(simhash, "GROUP", 20)
     assert sorted(map(tuple, simhash.similar_documents(docs, radius=None).collect())) == whole
+
+
+def test_repeated_passages_are_no_difference(spark):
+    g = np.random.default_rng(11)
+    rows = []
+    for k in range(30):
+        base, passage = ([f"{x}{g.integers(10**6)}" for _ in range(n)] for x, n in (("w", 300), ("p", 30)))
+        rows += [" ".join(base), " ".join(base + passage * (3, 5, 20)[k % 3])]
+    sets = [set(simhash._shingle_hashes(simhash._words(t), 5).tolist()) for t in rows]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in simhash.similar_documents(docs, radius=None).collect()}
+    assert got == {i: i - i % 2 for i in range(len(rows))}
+
+
+def test_short_texts_are_compared_exactly(spark, monkeypatch):
+    g = np.random.default_rng(12)
+    rows = []
+    for n in (8, 8, 8, 9, 12, 13, 20, 40, 60) * 12:
+        words = [f"w{g.integers(10**6)}" for _ in range(n)]
+        rows += [" ".join(words), " ".join(words + ["end"] * max(1, (n - 4) // 8))]
+    sets = [set(simhash._shingle_hashes(simhash._words(t), 5).tolist()) for t in rows]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for size in (simhash.GROUP, 2):
+        monkeypatch.setattr(simhash, "GROUP", size)
+        got = {r["id"]: r["component"] for r in simhash.similar_documents(docs, radius=None).collect()}
+        assert got == {i: i - i % 2 for i in range(len(rows))}
+
+
+@given(st.sets(st.integers(0, 40), max_size=25), st.sets(st.integers(0, 40), max_size=25), st.sampled_from([0.5, 0.8, 0.9]))
+@settings(max_examples=300, deadline=None)
+def test_similar_sets_share_a_prefix(a, b, similarity):
+    if a and b and len(a & b) >= similarity * len(a | b):
+        x, y = (simhash.prefix_of(np.array(sorted(s)), similarity).tolist() for s in (a, b))
+        assert {*x} & {*y}
