@@ -1,11 +1,9 @@
-"""Benchmark decontamination by SimHash windows.
-
-Every benchmark item is fingerprinted over its word shingles. A document's
-windows of the size of an item are fingerprinted the same way, looked up in a
-multi-index of Hamming blocks, and candidates within the radius are verified by
-exact weighted-shingle similarity. A window as similar as asked must hold at
-least one shingle of the item, so windows are only taken where a document has
-one; nothing is lost by that.
+"""Benchmark decontamination by windows of the size of an item.
+
+The similarity of a window and an item is that of their word shingles with
+repeats, whatever their order. A window as similar as asked must hold a certain
+number of the item's shingles, so the places of those in a document give every
+window in question, and each is verified exactly; nothing is lost by that.
 """
 
 from __future__ import annotations
@@ -16,7 +14,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,17 +46,6 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
     return low / high if high else 0.0
 
 
-def radius_for(similarity: float) -> int:
-    """A radius that a window of at least this similarity stays within.
-
-    With weighted similarity s the shingles that differ are at most a share
-    (1 - s) / (1 + s) of either side. A bit flips only if those outvote the
-    margin; the radius is the mean number of flips plus six deviations."""
-    share = (1 - similarity) / (1 + similarity)
-    flip = np.arccos(max(-1.0, 1 - share)) / np.pi
-    return min(64, int(np.ceil(64 * flip + 6 * np.sqrt(64 * flip * (1 - flip)))))
-
-
 @dataclass
 class Index:
     """Items with their fingerprints; picklable, rebuilt tables on first use."""
@@ -74,23 +60,19 @@ class Index:
     def ready(self) -> dict:
         if not self._ready:
             r: dict = defaultdict(list)
-            where: dict[str, list[tuple[int, int]]] = defaultdict(list)
+            where: dict[str, list[int]] = defaultdict(list)
             for k, (_, text) in enumerate(self.items):
                 words = words_of(text)
                 s = shingles(words)
                 r["counts"].append(Counter(s))
                 r["size"].append(len(words))
-                bits = _bits(s)
-                r["fp"].append(_majority(bits.sum(0, dtype=np.int64), len(s)))
-                for at, x in enumerate(s):
-                    where[x].append((k, at))
+                for x in r["counts"][k]:
+                    where[x].append(k)
             r["where"] = where
             by_length: dict[int, list[list[str]]] = defaultdict(list)
             for x in where:
                 by_length[x.count(" ") + 1].append(x.split())
             r["seeds"] = {n: _Seeds(_sorted_hashes(runs, n)) for n, runs in by_length.items()}
-            r["radius"] = radius_for(self.similarity)
-            r["blocks"] = _blocks(np.array(r["fp"], np.uint64), r["radius"])
             self._ready = dict(r)
         return self._ready
 
@@ -99,52 +81,21 @@ class Index:
         r = self.ready()
         words = words_of(text)
         hashes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
-        starts: dict[int, set[int]] = defaultdict(set)  # window size -> starts
+        places: dict[int, list[int]] = defaultdict(list)  # item -> where its shingles are
         for n, seeds in r["seeds"].items():
             if len(words) >= n:
                 for p in seeds.places(_rolling(hashes, n)):
-                    for k, at in r["where"].get(" ".join(words[p : p + n]), ()):
-                        starts[r["size"][k]].update(_near(p - at, r["size"][k], len(words), self.similarity))
+                    for k in r["where"].get(" ".join(words[p : p + n]), ()):
+                        places[k].append(p)
         found: dict[int, float] = {}
-        for size, ats in starts.items():
-            self._windows(words, size, sorted(ats), r, found)
+        for k, at in places.items():
+            size, item = r["size"][k], self.items[k][0]
+            for p in _starts(np.array(at), size, len(words), self.similarity):
+                sim = weighted_similarity(Counter(shingles(words[p : p + size])), r["counts"][k])
+                if sim >= self.similarity:
+                    found[item] = max(sim, found.get(item, 0.0))
         return found
 
-    def _windows(self, words: list[str], size: int, ats: list[int], r: dict, found: dict[int, float]) -> None:
-        """Fingerprint the windows of one size and verify the candidates."""
-        for group in _runs(ats, size):
-            first, last = group[0], group[-1]
-            part = words[first : last + size]
-            s = shingles(part) if len(part) >= SHINGLE and size >= SHINGLE else None
-            if s is None:  # items of fewer words than a shingle: the whole window is one
-                windows = [[" ".join(words[p : p + size])] for p in group]
-                fps = [_majority(_bits(w).sum(0, dtype=np.int64), 1) for w in windows]
-            else:
-                per = size - SHINGLE + 1
-                sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(_bits(s), axis=0, dtype=np.int32)))
-                at = np.array(group) - first
-                fps = [_majority(row, per) for row in sums[np.minimum(at + per, len(s))] - sums[at]]
-                windows = [s[i : i + per] for i in at.tolist()]
-            for fp, window in zip(fps, windows, strict=True):
-                near = _within(fp, r)
-                if not near:
-                    continue
-                counts = Counter(window)
-                for k in near:
-                    sim = weighted_similarity(counts, r["counts"][k])
-                    if sim >= self.similarity:
-                        item = self.items[k][0]
-                        found[item] = max(sim, found.get(item, 0.0))
-
-
-def _bits(s: list[str]) -> np.ndarray:
-    h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in s), "<u8", len(s))
-    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-
-
-def _majority(sums: np.ndarray, n: int) -> int:
-    return int(np.packbits(sums * 2 > n, bitorder="little").view("<u8")[0])
-
 
 def _rolling(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of n words; only chooses where to look."""
@@ -174,54 +125,24 @@ class _Seeds:
         return at[self.hashes[spot] == values[at]].tolist()
 
 
-def _near(start: int, size: int, total: int, similarity: float) -> range:
-    """Starts of windows that could be as similar as asked if an aligned shingle
-    would begin the item at start: words may have been put in or left out before it."""
-    slack = int(size * (1 - similarity) / similarity) + 1
-    low, high = max(0, start - slack), min(total - size, start + slack)
-    return range(low, high + 1) if high >= low else range(0, 1)
-
-
-def _runs(ats: list[int], size: int) -> list[list[int]]:
-    """Starts in groups whose windows overlap."""
-    groups = [[ats[0]]]
-    for p in ats[1:]:
-        if p - groups[-1][-1] < size and p - groups[-1][0] < 4096:
-            groups[-1].append(p)
-        else:
-            groups.append([p])
-    return groups
-
-
-def _blocks(fps: np.ndarray, radius: int) -> dict:
-    """Multi-index: fingerprints by the value of each block. With m blocks, a
-    pair within radius r has a block that differs in at most r // m bits."""
-    m = 4
-    slack = radius // m
-    width = 64 // m
-    tables = []
-    for b in range(m):
-        values = (fps >> np.uint64(b * width)) & np.uint64((1 << width) - 1)
-        table = defaultdict(list)
-        for k, v in enumerate(values.tolist()):
-            table[v].append(k)
-        keys = np.array(list(table), np.uint64)
-        tables.append((np.uint64(b * width), np.uint64((1 << width) - 1), keys, [table[int(v)] for v in keys]))
-    return {"tables": tables, "slack": slack, "fps": fps, "radius": radius}
-
-
-def _within(fp: int, r: dict) -> list[int]:
-    """Items whose fingerprints are within the radius."""
-    x = r["blocks"]
-    found: set[int] = set()
-    for shift, mask, keys, members in x["tables"]:
-        part = (np.uint64(fp) >> shift) & mask
-        for at in np.flatnonzero(np.bitwise_count(keys ^ part) <= x["slack"]).tolist():
-            found.update(members[at])
-    cand = np.array(sorted(found), np.int64)
-    if not len(cand):
+def _starts(places: np.ndarray, size: int, total: int, similarity: float) -> list[int]:
+    """Starts of all windows that could be as similar as asked to an item of size
+    words whose shingles are at places: sequences of a and b shingles that are
+    have at least (a + b) * similarity / (1 + similarity) of them in common."""
+    per = max(1, size - SHINGLE + 1)
+    held = min(per, max(1, total - SHINGLE + 1))
+    need = max(1, int(np.ceil((per + held) * similarity / (1 + similarity) - 1e-9)))
+    if len(places) < need:
+        return []
+    low = np.maximum(places[need - 1 :] - held + 1, 0)
+    high = np.minimum(places[: len(places) - need + 1], max(0, total - size))
+    ok = low <= high
+    if not ok.any():
         return []
-    return cand[np.bitwise_count(x["fps"][cand] ^ np.uint64(fp)) <= x["radius"]].tolist()
+    step = np.zeros(int(high[ok].max()) + 2, np.int64)
+    np.add.at(step, low[ok], 1)
+    np.add.at(step, high[ok] + 1, -1)
+    return np.flatnonzero(np.cumsum(step) > 0).tolist()
 
 
 def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", similarity: float = SIMILARITY) -> list[Index]:

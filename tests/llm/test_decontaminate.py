@@ -70,3 +70,24 @@ def test_odd_rows(spark, monkeypatch):
         assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 6]
     assert d.matches(docs.limit(0), bench).count() == 0
     assert d.matches(docs, bench.limit(0)).count() == 0 and d.keep_clean(docs, bench.limit(0)).count() == 7
+
+
+def test_moved_passages():
+    for size in (40, 50, 59, 120):
+        words = [f"w{i}" for i in range(size)]
+        item = " ".join(words)
+        index = d.Index([(1, item)])
+        for cut in (size // 2, size // 3, size - 6):
+            text = " ".join(["before", "it", *words[cut:], *words[:cut], "and", "after"])
+            assert index.matches(text) == by_hand(text, [(1, item)]) != {}
+        thirds = [words[: size // 3], words[size // 3 : 2 * size // 3], words[2 * size // 3 :]]
+        text = " ".join(["before", *thirds[2], *thirds[1], *thirds[0], "after"])
+        assert index.matches(text) == by_hand(text, [(1, item)])
+
+
+@given(st.lists(st.sampled_from("ab"), min_size=0, max_size=80), st.lists(st.lists(st.sampled_from("ab"), min_size=1, max_size=40), min_size=1, max_size=3))
+@settings(max_examples=300, deadline=None)
+def test_repetitive_texts(words, bodies):
+    items = [(k, " ".join(b)) for k, b in enumerate(bodies)]
+    text = " ".join(words)
+    assert d.Index(items).matches(text) == by_hand(text, items)
