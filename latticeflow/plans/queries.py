@@ -487,7 +487,10 @@ def distinct_ratio(spark, d):
 
 @query()
 def sampled_category(spark, d):
-    return aggregate.sampled_ratio(vox(spark, d), Box.of(0, (2000, 100, 8)), samples=200, side=16)
+    voxels = vox(spark, d)
+    b = aggregate.bounding_box(voxels).first()
+    box = Box(Vec(b.x0, b.y0, b.z0), Vec(b.x1, b.y1, b.z1)) if b and b.x0 is not None else Box.of(0, (0, 0, 0))
+    return aggregate.sampled_ratio(voxels, box, samples=200, side=16)
 
 
 @query("SELECT l_returnflag AS actual, l_linestatus AS predicted, count(*) AS n FROM lineitem GROUP BY ALL")
