@@ -20,25 +20,20 @@ from pyspark.sql import types as T
 CAPACITY = 16_384
 #: Pieces of a part, about; parts grow in number, not in size.
 PART_ROWS = 8_192
-BITS = 1024
-
-
-def _bits(codes: np.ndarray) -> np.ndarray:
-    """A bit below BITS for each distinct value; values that share a bit are
-    taken to conflict, which can cost room but never breaks the rule."""
-    return np.unique(codes, return_inverse=True)[1] % BITS
 
 
 class Bins:
-    """Open bins in order of (room left, bin)."""
+    """Open bins in order of (room left, bin). A bin's bitmaps have one bit for
+    each of the part's sources and clusters; codes count from 1, and bit 0, the
+    code of nulls, is never set."""
 
-    def __init__(self, capacity: int):
+    def __init__(self, capacity: int, sources: int, clusters: int):
         self.capacity = capacity
         self.room = np.empty(0, np.int64)
         self.order = np.empty(0, np.int64)
         self.used = 0
-        self.sources = np.zeros((64, BITS // 64), np.uint64)
-        self.clusters = np.zeros((64, BITS // 64), np.uint64)
+        self.sources = np.zeros((64, sources // 64 + 1), np.uint64)
+        self.clusters = np.zeros((64, clusters // 64 + 1), np.uint64)
 
     def put(self, size: int, source: int, cluster: int) -> tuple[int, int]:
         """(bin, offset) of the tightest bin that has room and neither conflict."""
@@ -65,8 +60,10 @@ class Bins:
             self.order = np.delete(self.order, found)
         offset = self.capacity - left
         left -= size
-        self.sources[b, ws] |= bs
-        self.clusters[b, wc] |= bc
+        if source:
+            self.sources[b, ws] |= bs
+        if cluster:
+            self.clusters[b, wc] |= bc
         if left:
             to = int(np.searchsorted(self.room, left))
             while to < len(self.room) and self.room[to] == left and self.order[to] < b:
@@ -77,13 +74,19 @@ class Bins:
 
 
 def pack_part(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each piece; pieces come largest first, in a fixed order of equals."""
-    bins = Bins(capacity)
-    s, c = _bits(sources), _bits(clusters)
-    got = [bins.put(int(x), int(a), int(b)) for x, a, b in zip(sizes, s, c, strict=True)]
+    """(bin, offset) of each piece; pieces come largest first, in a fixed order of
+    equals. Sources and clusters are codes from 1, without gaps; 0 is null."""
+    bins = Bins(capacity, int(sources.max(initial=0)), int(clusters.max(initial=0)))
+    got = [bins.put(int(x), int(a), int(b)) for x, a, b in zip(sizes, sources, clusters, strict=True)]
     return np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got], np.int64)
 
 
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    known = np.unique(column.drop_null().to_numpy())
+    code = np.searchsorted(known, column.fill_null(0).to_numpy()).astype(np.int64) + 1
+    return np.where(column.is_null().to_numpy(), 0, code)
+
+
 _OUT = [("part", T.LongType()), ("bin", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("size", T.LongType()), ("offset", T.LongType())]
 
 
@@ -103,7 +106,7 @@ def best_fit(
     lost; pieces that fill a bin have it alone. In a bin no two pieces come from
     one source, nor from one duplicate cluster (cluster_col, or equal texts up to
     case and white space). A bin is (part, bin); offset is the piece's place in
-    it. A null source or cluster conflicts with nothing. A null or empty text is
+    it. The part of pieces that fill a bin is negative and the document's own. A null source or cluster conflicts with nothing. A null or empty text is
     one piece of one byte. Null and repeated ids are rows of their own. An empty
     table gives an empty result. Extra columns are ignored.
     """
@@ -111,6 +114,7 @@ def best_fit(
     alike = F.col(cluster_col) if cluster_col else F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
     rows = docs.select(
         F.col(id_col).alias("id"),
+        F.monotonically_increasing_id().alias("row"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("total"),
         F.when(F.col(source_col).isNotNull(), F.xxhash64(F.col(source_col))).alias("source"),
         F.when(alike.isNotNull(), F.xxhash64(alike)).alias("cluster"),
@@ -120,11 +124,11 @@ def best_fit(
     # Whole pieces fill a bin each and need no search: only rests are packed.
     whole = (
         rows.where(full > 0)
-        .select("id", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"))
+        .select("id", "row", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"))
         .select(
             "id",
-            F.lit(-1).cast("long").alias("part"),
-            F.xxhash64("id", "piece").alias("bin"),
+            (-1 - F.col("row")).alias("part"),
+            F.col("piece").cast("long").alias("bin"),
             "piece",
             (F.col("piece").cast("long") * capacity).alias("start"),
             F.lit(capacity).cast("long").alias("size"),
@@ -132,12 +136,12 @@ def best_fit(
         )
     )
     rests = rows.where(rest > 0).select(
-        "id", "source", "cluster", full.alias("piece"), (full.cast("long") * capacity).alias("start"), rest.cast("long").alias("size")
+        "id", "row", "source", "cluster", full.alias("piece"), (full.cast("long") * capacity).alias("start"), rest.cast("long").alias("size")
     )
     n = docs.count()
     parts = max(1, -(-n // part_rows))
-    # Copies may share a part or not; either way they never share a bin.
-    dealt = rests.withColumn("part", F.pmod(F.xxhash64("id", "size", "cluster"), F.lit(parts)))
+    # Copies may share a part or not; either way they never share a bin. The row is in the hash, so that equal rows spread.
+    dealt = rests.withColumn("part", F.pmod(F.xxhash64("row", "id", "size"), F.lit(parts)))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(k, t) for k, t in _OUT]])
     order = ["part", F.desc("size"), "id", "cluster", "source"]
     held = dealt.select("id", "part", "piece", "start", "size", "source", "cluster")
@@ -150,15 +154,7 @@ def best_fit(
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
             for a, b in zip(cuts, cuts[1:], strict=False):
                 one = table.slice(int(a), int(b - a))
-                lone = -np.arange(1, len(one) + 1)  # nulls conflict with nothing
-                codes = []
-                for c in ("source", "cluster"):
-                    col = one.column(c)
-                    known = np.unique(col.drop_null().to_numpy())
-                    null = col.is_null().to_numpy()
-                    code = np.searchsorted(known, col.fill_null(0).to_numpy()).astype(np.int64)
-                    codes.append(np.where(null, lone, code))
-                bins, offsets = pack_part(one.column("size").to_numpy(), *codes, capacity)
+                bins, offsets = pack_part(one.column("size").to_numpy(), _codes(one.column("source")), _codes(one.column("cluster")), capacity)
                 got = one.select(["id", "part"]).append_column("bin", pa.array(bins))
                 for name in ("piece", "start", "size"):
                     got = got.append_column(name, one.column(name))

@@ -14,7 +14,7 @@ def best_fit_by_hand(items, capacity):
     """(bin, offset) in order: every bin is looked at."""
     bins, out = [], []
     for size, source, cluster in items:
-        free = [(b["room"], k) for k, b in enumerate(bins) if b["room"] >= size and source not in b["s"] and cluster not in b["c"]]
+        free = [(b["room"], k) for k, b in enumerate(bins) if b["room"] >= size and (not source or source not in b["s"]) and (not cluster or cluster not in b["c"])]
         if free:
             k = min(free)[1]
         else:
@@ -91,3 +91,23 @@ def test_given_clusters(spark):
     rows = [(i, f"text {i}", f"s{i}", f"c{i % 2}") for i in range(6)]
     got = packing.best_fit(spark.createDataFrame(rows, SCHEMA), capacity=1000, cluster_col="bin")
     assert got.select("bin").distinct().count() == 3
+
+
+def test_many_clusters_match_brute_force():
+    """More clusters than a few words of bits hold: none is taken for another."""
+    g = np.random.default_rng(2)
+    sizes = np.sort(g.integers(1, 400, 3_000))[::-1]
+    sources = g.integers(0, 1_500, 3_000)
+    clusters = np.concatenate((np.arange(2_500), g.integers(0, 2_500, 500)))
+    bins, offsets = packing.pack_part(sizes, sources, clusters, 1_000)
+    want = best_fit_by_hand(list(zip(sizes.tolist(), sources.tolist(), clusters.tolist(), strict=True)), 1_000)
+    assert list(zip(bins.tolist(), offsets.tolist(), strict=True)) == want
+
+
+def test_long_texts_of_repeated_and_null_ids(spark):
+    docs = spark.createDataFrame([(i, "z" * 20_000, "s", "") for i in (1, 1, None, None)], SCHEMA)
+    got = packing.best_fit(docs).collect()
+    held = defaultdict(int)
+    for r in got:
+        held[r["part"], r["bin"]] += r["size"]
+    assert max(held.values()) <= packing.CAPACITY and sum(held.values()) == 4 * 20_001 and len(got) == 8
