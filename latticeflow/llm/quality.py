@@ -20,8 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Table, arrow_map
-from .toxicity import _fresh
+from .common import Table, arrow_column, arrow_map
 
 #: Features of the hashed scorer, and documents it is trained on at most (those whose ids have the smallest hash).
 HASH_BITS, FIT_ROWS = 12, 8_000
@@ -242,14 +241,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = REJECT) -> DataFrame:
-    """docs without the rows that score below threshold; columns as they were."""
-    names = docs.columns
-    mark = _fresh("_quality", names)
-    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.DoubleType())])
-    at = names.index(text_col)
-
-    def run(batch: pa.RecordBatch) -> dict:
-        out = {n: batch.column(i) for i, n in enumerate(names)}
-        return out | {mark: [model.score(t) for t in batch.column(at).to_pylist()]}
-
-    return arrow_map(docs, run, schema).where(F.col(mark) >= threshold).drop(mark)
+    """docs without the rows that score below threshold; columns as they were.
+    Null and empty texts are judged as texts without words; an empty table stays empty."""
+    good = lambda texts: [model.score(t) >= threshold for t in texts]
+    return docs.where(arrow_column(good, T.BooleanType(), F.col(text_col)))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map
+from .common import arrow_column, arrow_map
 
 #: Letters of other alphabets that look like Latin ones, and digits read as letters (fixed values).
 HOMOGLYPHS = {
@@ -225,21 +225,7 @@ def held_out(id_col) -> F.Column:
 
 
 def reject(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """docs without the rows that score at least threshold; columns as they were."""
-    names = docs.columns
-    mark = _fresh("_toxic", names)
-    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.DoubleType())])
-    at = names.index(text_col)
-
-    def run(batch: pa.RecordBatch) -> dict:
-        out = {n: batch.column(i) for i, n in enumerate(names)}
-        return out | {mark: [scorer.score(t) for t in batch.column(at).to_pylist()]}
-
-    return arrow_map(docs, run, schema).where(F.col(mark) < threshold).drop(mark)
-
-
-def _fresh(name: str, taken: list[str]) -> str:
-    low = {t.lower() for t in taken}
-    while name.lower() in low:
-        name += "_"
-    return name
+    """docs without the rows that score at least threshold; columns as they were.
+    Null and empty texts score as texts without matches; an empty table stays empty."""
+    fine = lambda texts: [scorer.score(t) < threshold for t in texts]
+    return docs.where(arrow_column(fine, T.BooleanType(), F.col(text_col)))
