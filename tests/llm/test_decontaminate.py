@@ -1,5 +1,6 @@
 from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -62,8 +63,8 @@ def test_odd_rows(spark, monkeypatch):
         "doc_id long, text string, similarity double",
     )
     bench = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, " ?", "x"), (4, "two words", "x"), (1, item, "x")], "item_id long, text string, doc_id string")
-    for size in (d.SLICE_BYTES, 30):
-        monkeypatch.setattr(d, "SLICE_BYTES", size)
+    for size in (d.INDEX_BYTES, 30):
+        monkeypatch.setattr(d, "INDEX_BYTES", size)
         got = {(r["id"], r["item"], r["similarity"]) for r in d.matches(docs, bench).collect()}
         assert got == {(3, 1, 1.0), (None, 1, 1.0), (5, 4, 1.0)}
         kept = d.keep_clean(docs, bench)
@@ -91,3 +92,48 @@ def test_repetitive_texts(words, bodies):
     items = [(k, " ".join(b)) for k, b in enumerate(bodies)]
     text = " ".join(words)
     assert d.Index(items).matches(text) == by_hand(text, items)
+
+
+def test_documents_shorter_than_items(spark):
+    g = np.random.default_rng(3)
+    items = [(f"item {k}", [f"w{g.integers(10**6)}" for _ in range(60)]) for k in range(400)]
+    docs = spark.createDataFrame([(k, " ".join(w[:50])) for k, (_, w) in enumerate(items)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id string, text string")
+    got = {(r["id"], r["item"]): r["similarity"] for r in d.matches(docs, bench).collect()}
+    assert got == {(k, f"item {k}"): 46 / 56 for k in range(400)}
+    assert d.keep_clean(docs, bench).count() == 0
+
+
+def test_shorter_documents_against_brute_force():
+    g = np.random.default_rng(4)
+    for size in (9, 10, 14, 20, 40, 59):
+        items = [(k, " ".join(f"w{g.integers(10**6)}" for _ in range(size))) for k in range(40)]
+        index = d.Index(items)
+        for k, (_, text) in enumerate(items):
+            cut = " ".join(text.split()[: int(g.integers(size * 3 // 4, size + 1))])
+            assert index.matches(cut) == by_hand(cut, [items[k]])
+
+
+def test_blocks_select_and_lose_nothing():
+    g = np.random.default_rng(5)
+    prints = g.integers(0, 256, (2_000, d.BITS // 8), dtype=np.uint8)
+    blocks = d.Blocks(prints)
+    assert len(blocks.candidates(prints[:50])[0]) < 0.05 * 50 * len(prints)
+    row, item = blocks.within(prints[:50])
+    assert row.tolist() == item.tolist() == list(range(50))
+    for k in range(200):  # as far as the radius allows
+        bits = np.unpackbits(prints[k])
+        bits[g.choice(d.BITS, d.RADIUS, replace=False)] ^= 1
+        assert k in blocks.within(np.packbits(bits)[None])[1]
+
+
+def test_recall_of_the_radius_at_the_threshold():
+    """Windows right at a similarity of 0.8, items from the shortest to long ones."""
+    g = np.random.default_rng(6)
+    for n in (9, 18, 34, 90):
+        far = []
+        for _ in range(400):
+            both = g.integers(0, 2**63, n + n // 9, dtype=np.uint64)
+            a, b = d.fingerprint(both[:n]), d.fingerprint(both[n // 9 :])
+            far.append(int(np.bitwise_count(a ^ b).sum()))
+        assert max(far) <= d.RADIUS - 8  # 3,200 pairs were at most 64 bits apart
