@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Table, arrow_map
+from .common import Table, arrow_map, fresh
 from .components import components
 
 RADIUS = 4
@@ -62,18 +62,16 @@ def simhash(text: str | None, words: int = SHINGLE, seed: int = 42) -> int:
     return int.from_bytes(_majority(_shingle_hashes(_words(text), words, seed)), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = SHINGLE) -> DataFrame:
-    """(id, fp): the fingerprint of each row as a signed long. Null texts count
-    as empty; other columns are left out."""
-    schema = T.StructType(
-        [T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())]
-    )
+def fingerprints(docs: DataFrame, keep: list[str], text_col: str, words: int) -> DataFrame:
+    """The columns keep and fp: the fingerprint of each row as a signed long. Null
+    texts count as empty; other columns are left out."""
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("fp", T.LongType())])
 
     def run(batch: pa.RecordBatch) -> dict:
-        fps = np.fromiter((simhash(t, words) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        return {"id": batch.column(0), "fp": fps.view(np.int64)}
+        fps = np.fromiter((simhash(t, words) for t in batch.column(len(keep)).to_pylist()), np.uint64, batch.num_rows)
+        return {c: batch.column(i) for i, c in enumerate(keep)} | {"fp": fps.view(np.int64)}
 
-    return arrow_map(docs.select(id_col, text_col), run, schema)
+    return arrow_map(docs.select(*keep, text_col), run, schema)
 
 
 def block_masks(m: int, radius: int) -> list[int]:
@@ -193,13 +191,24 @@ def _links_in_buckets(radius: int, cap: int | None):
                     }
                 )
 
+        over = None  # a bucket that is known to be above cap: the rest of it is not gathered
         for batch in batches:
-            now = [np.concatenate((k, batch.column(i).to_numpy())) for i, k in enumerate(kept)]
+            cols = [batch.column(i).to_numpy() for i in range(3)]
+            if over is not None:
+                rest = (cols[0] != over[0]) | (cols[1] != over[1])
+                cols = [c[rest] for c in cols]
+            if not len(cols[0]):
+                continue
+            now = [np.concatenate((k, c)) for k, c in zip(kept, cols, strict=True)]
             mask, bucket, _ = now
-            same = np.flatnonzero((mask != mask[-1]) | (bucket != bucket[-1])) if len(mask) else []
+            same = np.flatnonzero((mask != mask[-1]) | (bucket != bucket[-1]))
             cut = int(same[-1]) + 1 if len(same) else 0
             yield from work(*(x[:cut] for x in now))
             kept = [x[cut:] for x in now]
+            if cap is not None and len(kept[0]) > max(cap, 32):
+                over = (kept[0][0], kept[1][0])
+                yield from work(*kept)
+                kept = [k[:0] for k in kept]
         yield from work(*kept)
 
     return run
@@ -241,6 +250,11 @@ def links(distinct_fps: DataFrame, radius: int = RADIUS, bucket_cap: int = BUCKE
     return found.unionByName(more)
 
 
+def text_key(text: F.Column) -> F.Column:
+    """Tells the texts of a repeated id apart; null and empty texts are alike."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -254,14 +268,24 @@ def near_duplicates(
     with a null id keep their fingerprint and get the component of the others
     (null if there is no other); repeated ids stay as rows; an empty table gives
     an empty one. Extra columns are ignored."""
-    fps = Table(fingerprints(docs, id_col, text_col, words), "fingerprints").df
-    classes = Table(fps.groupBy("fp").agg(F.min("id").alias("least")), "classes").df
+    return near_rows(docs, id_col, text_col, words, radius).select("id", "fp", "component")
+
+
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row (id, key, fp, component, first) per row of docs: component is as
+    in near_duplicates, key that of text_key, and (component, first) are the id
+    and key of the group's first row."""
+    keyed = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    fps = Table(fingerprints(keyed, ["id", "key"], "text", words), "fingerprints").df
+    first = F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("least")
+    classes = Table(fps.groupBy("fp").agg(first), "classes").df
     linked = components(links(classes.select("fp"), radius), "u", "v")
     groups = linked.join(classes, F.col("node") == F.col("fp"))
     least = groups.groupBy("component").agg(F.min("least").alias("smallest"))
     by_fp = Table(groups.join(least, "component").select("fp", "smallest"), "groups").df
-    named = classes.join(by_fp, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component"))
-    return fps.join(named, "fp").select("id", "fp", "component")
+    named = classes.join(by_fp, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("first"))
+    found = fps.join(named, "fp")
+    return found.select("id", "key", "fp", F.col("first.id").alias("component"), F.col("first.key").alias("first"))
 
 
 def hex_fingerprint(fp) -> F.Column:
@@ -498,63 +522,59 @@ def _verified(similarity: float):
     return run
 
 
-def similar_documents(
+def similar_rows(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int | None = RADIUS
 ) -> DataFrame:
-    """One row (id, component) per row of docs: component is the smallest id of
-    the rows that can be reached by links between texts whose sets of word
-    shingles have a Jaccard similarity of at least similarity and, unless radius
-    is null, by the links of near_duplicates.
-
-    Candidate groups come from blocks of wide fingerprints of the shingle sets
-    (which miss about MISS of the pairs right at the threshold and fewer above it)
-    and, between texts of at most SHORT distinct shingles, from shared prefixes,
-    which miss none; within a group links are exact, on whole shingle sets. Texts
-    with equal fingerprints are one class. Null and
-    empty texts are alike. Repeated ids are rows of their own; rows without an id
-    take part by their fingerprints, but are not compared further. An empty table
-    gives an empty one.
-    """
-    spark = docs.sparkSession
+    """One row (id, key, component, first) per row of docs: component is as in
+    similar_documents, key that of text_key, and (component, first) are the id and
+    key of the group's first row."""
     kind = docs.schema[id_col].dataType
-    binary = [T.StructField(n, T.BinaryType()) for n in ("wide", "short")]
-    schema = T.StructType([T.StructField("id", kind), T.StructField("fp", T.LongType()), *binary])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    long_ = [T.StructField(n, T.LongType()) for n in ("key", "fp")]
+    binary = [T.StructField(n, T.BinaryType()) for n in ("held", "wide", "short")]
+    schema = T.StructType([T.StructField("id", kind), *long_, *binary])
 
     def mark(batch: pa.RecordBatch) -> dict:
-        raws = [_words(t) for t in batch.column(1).to_pylist()]
+        raws = [_words(t) for t in batch.column(2).to_pylist()]
         fps = np.array([int.from_bytes(_majority(_shingle_hashes(r, SHINGLE)), "little") for r in raws], np.uint64)
-        wide, short = [], []
+        held, wide, short = [], [], []
         for r in raws:
-            held = np.unique(_shingle_hashes(r, words))  # the sets that are verified
-            wide.append(wide_simhash(held))
-            short.append(held.tobytes() if len(held) <= SHORT else None)
-        return {"id": batch.column(0), "fp": fps.view(np.int64), "wide": wide, "short": short}
-
-    rows = Table(arrow_map(docs.select(id_col, text_col), mark, schema), "rows").df
-    firsts = [F.min(c).alias(n) for c, n in (("id", "least"), ("fp", "fp"), ("short", "short"))]
-    classes = Table(rows.groupBy("wide").agg(*firsts).withColumn("ref", F.monotonically_increasing_id()), "wide").df
-    found = _candidate_groups(classes.where("least is not null").select("ref", "wide"), similarity)
-    groups = Table(found.select(F.col("node").alias("ref"), F.col("component").alias("group")), "candidates").df
-    wanted = Table(groups.join(classes, "ref").select("ref", "group", F.col("least").alias("id")), "wanted").df
+            some = np.unique(_shingle_hashes(r, words))  # the sets that are verified
+            held.append(xxhash.xxh3_128_digest(some.tobytes()))
+            wide.append(wide_simhash(some))
+            short.append(some.tobytes() if len(some) <= SHORT else None)
+        return {"id": batch.column(0), "key": batch.column(1), "fp": fps.view(np.int64), "held": held, "wide": wide, "short": short}
+
+    keyed = docs.select(F.col(id_col).alias("id"), text_key(text).alias("key"), text.alias("text"))
+    rows = Table(arrow_map(keyed, mark, schema), "rows").df
+    # A class is a set of shingles; its first row stands for it, rows without an id come last.
+    first = F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("least")
+    alike = rows.groupBy("held").agg(first, *[F.min(c).alias(c) for c in ("wide", "short")])
+    classes = Table(alike.withColumn("ref", F.monotonically_increasing_id()), "classes").df
+    found = _candidate_groups(classes.select("ref", "wide"), similarity)
+    groups = found.select(F.col("node").alias("ref"), F.col("component").alias("group"))
+    wanted = Table(groups.join(classes, "ref").select("ref", "group", "least.id", "least.key"), "wanted").df
 
     def sets(batch: pa.RecordBatch) -> dict:
         found = [np.unique(_shingle_hashes(_words(t), words)).astype("<u8").tobytes() for t in batch.column(2).to_pylist()]
         return {"ref": batch.column(0), "group": batch.column(1), "shingles": found}
 
     set_schema = T.StructType([T.StructField("ref", T.LongType()), T.StructField("group", T.LongType()), T.StructField("shingles", T.BinaryType())])
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("ref", "group", "text")
-    # An id that stands for several texts is compared by one of them.
+    at = wanted.select(F.col("id").alias("_id"), "key", "ref", "group")
+    texts = keyed.join(at, (keyed["key"] == at["key"]) & keyed["id"].eqNullSafe(at["_id"])).select("ref", "group", "text")
+    # Rows that repeat an id and its text give a set again.
     by_blocks = arrow_map(texts, sets, set_schema).groupBy("ref", "group").agg(F.min("shingles").alias("shingles"))
 
     def keys(batch: pa.RecordBatch) -> dict:
-        raw = batch.column(1).to_pylist()
-        found = [prefix_of(np.frombuffer(x, "<u8"), similarity) for x in raw]
-        many = [len(x) for x in found]
+        found = [prefix_of(np.frombuffer(x, "<u8"), similarity) for x in batch.column(1).to_pylist()]
         group = np.concatenate([np.empty(0, "<u8"), *found]).view(np.int64)
-        return {"ref": np.repeat(batch.column(0).to_numpy(), many), "group": group, "shingles": [x for x, n in zip(raw, many, strict=True) for _ in range(n)]}
+        return {"ref": np.repeat(batch.column(0).to_numpy(), [len(x) for x in found]), "group": group}
 
-    short = classes.where("least is not null and short is not null").select("ref", "short")
-    by_prefix = arrow_map(short, keys, set_schema, slice_bytes=1 << 17)
+    short = classes.where("short is not null").select("ref", "short")
+    prefixes = Table(arrow_map(short, keys, T.StructType(set_schema.fields[:2]), slice_bytes=1 << 18), "prefixes").df
+    # Sets travel only to prefixes that two texts share.
+    shared = prefixes.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
+    by_prefix = prefixes.join(shared, "group").join(short, "ref").select("ref", "group", F.col("short").alias("shingles"))
     shingled = Table(by_blocks.unionByName(by_prefix), "shingles").df
     chunks = shingled.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group", F.ceil(F.col("n") * 2 / GROUP).cast("int").alias("c"))
     many = F.when(F.col("c") > 2, F.col("c")).otherwise(1)  # two chunks fit one task
@@ -567,7 +587,7 @@ def similar_documents(
         fps = Table(rows.select("fp").distinct(), "fps").df
         close = components(links(fps, radius), "u", "v").select(F.col("node").alias("fp"), F.col("component").alias("group"))
         # Every class of a Hamming group is linked to the group's first class.
-        of = rows.select("fp", "wide").distinct().join(classes.select("wide", "ref"), "wide")
+        of = rows.select("fp", "held").distinct().join(classes.select("held", "ref"), "held")
         grouped = of.join(close, "fp", "left").select(F.coalesce("group", "fp").alias("group"), "ref")
         first = grouped.groupBy("group").agg(F.min("ref").alias("first"))
         links_ = links_.unionByName(grouped.join(first, "group").where("ref <> first").select(F.col("ref").alias("a"), F.col("first").alias("b")))
@@ -575,17 +595,48 @@ def similar_documents(
     named = found.join(classes.select("ref", "least"), "ref")
     smallest = named.groupBy("component").agg(F.min("least").alias("smallest"))
     by_ref = named.join(smallest, "component").select("ref", "smallest")
-    final = Table(classes.join(by_ref, "ref", "left").select("wide", F.coalesce("smallest", "least").alias("component")), "final").df
-    return rows.join(final, "wide").select("id", "component")
+    final = Table(classes.join(by_ref, "ref", "left").select("held", F.coalesce("smallest", "least").alias("first")), "final").df
+    return rows.join(final, "held").select("id", "key", F.col("first.id").alias("component"), F.col("first.key").alias("first"))
+
+
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int | None = RADIUS
+) -> DataFrame:
+    """One row (id, component) per row of docs: component is the smallest id of
+    the rows that can be reached by links between texts whose sets of word
+    shingles have a Jaccard similarity of at least similarity and, unless radius
+    is null, by the links of near_duplicates.
+
+    Candidate groups come from blocks of wide fingerprints of the shingle sets
+    (which miss about MISS of the pairs right at the threshold and fewer above it)
+    and, between texts of at most SHORT distinct shingles, from shared prefixes,
+    which miss none; within a group links are exact, on whole shingle sets, equal
+    fingerprints or not. Null and empty texts are alike. Repeated ids are rows of
+    their own, each linked by its own text; rows without an id take part like any
+    other, and the component is null only if no row of the group has one. An empty
+    table gives an empty one. Extra columns are ignored.
+    """
+    return similar_rows(docs, id_col, text_col, words, similarity, radius).select("id", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **how) -> DataFrame:
-    """docs with one row of each near-duplicate group, the row of smallest id; with
-    similarity the groups of similar_documents, else those of near_duplicates.
-    Rows without an id are kept. A repeated id is kept once per row."""
+    """docs with one row of each near-duplicate group, the row of smallest id (and
+    of its texts the one of smallest text_key); with similarity the groups of
+    similar_rows, else those of near_rows. Rows without an id are kept, whatever
+    their group. Rows that repeat an id and its text are one: the first of them
+    stays. Of a repeated id with several texts each goes by the group of its own
+    text. An empty table stays empty; columns are as they were."""
     if similarity is None:
-        found = near_duplicates(docs, id_col, text_col, **how)
+        found = near_rows(docs, id_col, text_col, **how)
     else:
-        found = similar_documents(docs, id_col, text_col, similarity=similarity, **how)
-    gone = found.where(F.col("id") != F.col("component")).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+        found = similar_rows(docs, id_col, text_col, similarity=similarity, **how)
+    found = Table(found.where("id is not null"), "found").df
+    k, n = fresh("_key", docs.columns), fresh("_n", docs.columns)
+    gone = found.where((F.col("id") != F.col("component")) | (F.col("key") != F.col("first"))).select(F.col("id").alias(id_col), F.col("key").alias(k))
+    kept = docs.withColumn(k, text_key(F.col(text_col))).join(gone.distinct(), [id_col, k], "left_anti")
+    twice = found.groupBy(F.col("id").alias(id_col), F.col("key").alias(k)).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1)
+    if not twice.isEmpty():
+        marked = kept.join(twice, [id_col, k], "left")
+        once = marked.where(F.col(n).isNotNull()).dropDuplicates([id_col, k])  # combined before they are shuffled
+        kept = marked.where(F.col(n).isNull()).unionByName(once)
+    return kept.select(*docs.columns)

@@ -137,7 +137,32 @@ def test_similar_documents_odd_rows(spark):
     got = sorted(str((r["id"], r["component"])) for r in simhash.similar_documents(docs).collect())
     assert got == sorted(map(str, [(1, 1), (2, 1), (4, 4), (5, 4), (5, 5), (None, 4), (7, 7), (8, 7)]))
     assert simhash.similar_documents(docs.limit(0)).count() == 0
-    assert sorted(r["doc_id"] or -1 for r in simhash.keep_one(docs, similarity=0.8).collect()) == [-1, 1, 4, 7]
+    assert sorted(r["doc_id"] or -1 for r in simhash.keep_one(docs, similarity=0.8).collect()) == [-1, 1, 4, 5, 7]
+
+
+def test_repeated_ids_lose_neither_links_nor_texts(spark):
+    g = np.random.default_rng(20)
+    a, b = (" ".join(f"{x}{g.integers(10**6)}" for _ in range(120)) for x in "ab")
+    rows = [(1, a, "x"), (2, a + " end", "x"), (2, b, "x"), (3, b + " two more", "x"), (4, b, "y"), (4, b, "z"), (5, a[::-1], "x"), (5, a[::-1], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component string")
+    got = simhash.similar_rows(docs).collect()
+    key = {r["key"]: t for r, (_, t) in zip(docs.select(simhash.text_key(docs["text"]).alias("key"), "text").collect(), [(r[0], r[1]) for r in rows], strict=True)}
+    assert sorted((r["id"], key[r["key"]], r["component"]) for r in got) == sorted((i, t, 2 if t.startswith(b) else min(i, 1) if t.startswith(a) else i) for i, t, _ in rows)
+    for similarity in (None, 0.8):
+        kept = simhash.keep_one(docs, similarity=similarity)
+        assert kept.columns == docs.columns
+        assert {r["text"] for r in kept.collect()} >= {a, b, a[::-1]}
+        assert sum(r["text"] == a[::-1] for r in kept.collect()) == 1  # rows that repeat id and text are one
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs, similarity=0.8).collect()) == sorted([(1, a), (2, b), (5, a[::-1])])
+
+
+def test_equal_wide_fingerprints_are_verified(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "wide_simhash", lambda hashes: bytes(simhash.WIDE // 8))
+    g = np.random.default_rng(21)
+    texts = [" ".join(f"w{g.integers(10**6)}" for _ in range(150)) for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[2] + " and"])), "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in simhash.similar_documents(docs, radius=None).collect()}
+    assert got == {**{i: i for i in range(6)}, 6: 2}
 
 
 @given(st.lists(st.sets(st.integers(0, 30), max_size=12), min_size=2, max_size=25), st.sampled_from([0.5, 0.8]))
