@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer and verifying reader.
 
-Records are range-sorted by id, one task writes one range. Files roll by
-compressed size. Each file is written under a temporary name of its attempt and
+Records are sorted by (id, digest) and cut into ranges of about RANGE_BYTES, by
+exact running sums, so the layout of the archive depends on the data alone, not
+on partitions or cores. Files of a range roll by compressed size. Each file is written under a temporary name of its attempt and
 moved to its final name, so a task that runs again only replaces equal bytes;
 the manifest table lists what was committed, and the reader takes only files
 that the manifest names, with the size and checksum that it gives.
@@ -14,17 +15,23 @@ import hashlib
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Table
 
 MIN_REVISIT_BYTES = 0
 ROLL_BYTES = 16 << 20
+#: Payload bytes of a range, what a record adds to them, and how many ranges there
+#: are at most: their bounds are broadcast. Beyond that ranges grow (1 GB at 100 TB).
+RANGE_BYTES, RECORD_BYTES, MAX_RANGES = 16 << 20, 512, 100_000
 DATE = "2024-01-01T00:00:00Z"
 _NS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -67,8 +74,8 @@ def _header_safe(url: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, first: int | None) -> bytes:
-    """response (first is None), or a revisit of the page with id first."""
+def page_record(page_id: int | None, url: str | None, payload: bytes, first: tuple | None) -> bytes:
+    """response (first is None), or a revisit of the page whose id first holds, which may be null."""
     digest = base32_sha1(payload)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     http += b"Content-Length: %d\r\n\r\n" % len(payload)
@@ -82,12 +89,50 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, first: int
         headers.append(("X-Page-Id", str(page_id)))
     if first is None:
         return _record("response", f"{page_id} {digest}", headers, http + payload)
-    headers += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", _record_id(f"{first} {digest}")), ("X-Refers-To-Page-Id", str(first))]
+    headers += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", _record_id(f"{first[0]} {digest}"))]
+    if first[0] is not None:
+        headers.append(("X-Refers-To-Page-Id", str(first[0])))
     return _record("revisit", f"{page_id} {digest} revisit", headers, http)
 
 
+def _bounds(keys: DataFrame, range_bytes: int) -> list[tuple]:
+    """The first (id, sha) of each range but the first, in order, null ids first;
+    from keys (id, sha, bytes). Equal keys stay in one range."""
+    summed = keys.groupBy("id", "sha").agg(F.sum("bytes").alias("bytes"))
+    ordered = summed.repartitionByRange("id", "sha").sortWithinPartitions("id", "sha")
+    rows = Table(ordered.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "ordered").df
+    # Where the partitions lie is up to Spark; the order of all rows, and so the sum before each, is not.
+    sums = sorted((r["part"], r["bytes"]) for r in rows.groupBy("part").agg(F.sum("bytes").alias("bytes")).collect())
+    starts, total = [], 0
+    for part, size in sums:
+        starts.append((part, total))
+        total += size
+    if total <= range_bytes:
+        return []
+    range_bytes = max(range_bytes, -(-total // MAX_RANGES))
+    before = F.sum("bytes").over(W.partitionBy("part").orderBy("at").rowsBetween(W.unboundedPreceding, -1))
+    placed = rows.join(F.broadcast(rows.sparkSession.createDataFrame(starts, "part int, start long")), "part")
+    cut = F.floor((F.col("start") + F.coalesce(before, F.lit(0))) / range_bytes)
+    firsts = placed.withColumn("cut", cut).groupBy("cut").agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id", "sha")).alias("k")).where("cut > 0")
+    return sorted((r["k"]["some"], r["k"]["id"] or 0, r["k"]["sha"]) for r in firsts.collect())
+
+
+def _range_of(spark: SparkSession, bounds: list[tuple]) -> Column:
+    """The number of the range of a row's id and sha; only those two go to Python."""
+    if not bounds:
+        return F.lit(0)
+    sent = spark.sparkContext.broadcast(bounds)
+
+    def find(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for ids, shas in pairs:
+            rows = zip(ids.to_pylist(), shas.to_pylist(), strict=True)
+            yield pa.array([bisect_right(sent.value, (i is not None, i or 0, sha)) for i, sha in rows], pa.int32())
+
+    return F.arrow_udf(find, T.IntegerType())("id", "sha")
+
+
 class _Roller:
-    """Writes records of one task; yields a manifest row for each closed file."""
+    """Writes the records of one range; yields a manifest row for each closed file."""
 
     def __init__(self, out: str, part: int, attempt: int, roll: int):
         self.fs, self.root = _open(out)
@@ -132,55 +177,66 @@ def write(
     roll_bytes: int = ROLL_BYTES,
     min_revisit_bytes: int = MIN_REVISIT_BYTES,
     partitions: int | None = None,
+    range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
     """Write one record per row under out (a new shared folder); returns the manifest.
 
     Of rows with equal payloads of at least min_revisit_bytes the one of smallest
     id is the response, the others revisit it; of repeated (id, payload) rows the
-    first is the response. Null payloads are empty. Rows with a null id are
-    written as responses without an id. A null or empty url is left out of the
+    first is the response. Null payloads are empty. Rows with a null id revisit
+    like any other; if no row of a payload has an id, one of them is the response
+    and what revisits it names no id. A null or empty url is left out of the
     record. An empty table gives an empty manifest. Payloads are strings (written
-    as UTF-8) or binary.
+    as UTF-8) or binary. The files depend on the rows, roll_bytes and range_bytes
+    only; partitions is the number of tasks.
     """
+    spark = pages.sparkSession
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
-    keys = Table(rows.where(F.octet_length("payload") >= min_revisit_bytes).where("id is not null").select("id", "sha"), "digests")
+    keys = Table(rows.select("id", "sha", F.octet_length("payload").cast("long").alias("bytes")), "digests")
     shared = (
-        keys.df.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first")
-    )
+        keys.df.where(F.col("bytes") >= min_revisit_bytes)
+        .groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("sha", "first")
+    )
     # Rows without a payload travel ahead of the records that they mark as
     # revisits, so payloads are shuffled once, by range.
-    marks = keys.df.join(shared, "sha").where("first < id").select("id", "sha", "first").distinct()
+    marks = keys.df.select("id", "sha").distinct().join(shared, "sha").where("id is null or first < id")
     rows = rows.select("id", "sha", F.lit(None).cast("long").alias("first"), "url", "payload").unionByName(
         marks.select("id", "sha", "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     )
-    order = ("id", "sha", F.col("first").isNull(), "url")
-    dealt = rows.repartitionByRange(partitions, "id") if partitions else rows.repartitionByRange("id")
+    bounds = _bounds(keys.df.withColumn("bytes", F.col("bytes") + RECORD_BYTES), range_bytes)
+    rows = rows.withColumn("range", _range_of(spark, bounds))
+    order = ("range", "id", "sha", F.col("first").isNull(), "url")
+    dealt = rows.repartition(partitions, "range") if partitions else rows.repartition("range")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ctx = TaskContext.get()
-        files = _Roller(out, ctx.partitionId(), ctx.taskAttemptId(), roll_bytes)
-        last, target = None, None
+        attempt = TaskContext.get().taskAttemptId()
+        files, part, last, target = None, None, None, None  # target: (id,) of what the key's rows revisit
         emit = lambda m: pa.RecordBatch.from_pylist([m])
         for batch in batches:
             ids, shas, firsts, urls = (batch.column(i).to_pylist() for i in range(4))
+            ranges = batch.column(5).to_pylist()
             for k in range(batch.num_rows):
                 key = (ids[k], shas[k])
                 if firsts[k] is not None:
-                    last, target = key, firsts[k]
+                    last, target = key, (firsts[k],)
                     continue
+                if ranges[k] != part:
+                    if files is not None and (done := files.close()):
+                        yield emit(done)
+                    part, files = ranges[k], _Roller(out, ranges[k], attempt, roll_bytes)
                 payload = batch.column(4)[k].as_py()
                 if key != last:
                     target = None
                 if done := files.add(page_record(ids[k], urls[k], payload, target)):
                     yield emit(done)
-                if key != last and ids[k] is not None and len(payload) >= min_revisit_bytes:
-                    target = ids[k]  # what repeats this very row revisits it
+                if target is None and len(payload) >= min_revisit_bytes:
+                    target = (ids[k],)  # what repeats this very row revisits it
                 last = key
-        if done := files.close():
+        if files is not None and (done := files.close()):
             yield emit(done)
 
     made = dealt.sortWithinPartitions(*order).mapInArrow(run, MANIFEST)
