@@ -45,6 +45,14 @@ MARKS = set(
     "skip paywall teaser trending topbar bottombar form".split()
 )
 COMMENTS = set("comment comments commentlist disqus replies reply respond".split())
+#: Words that beside a mark only say what kind of box it is (fixed values). A name
+#: with any other word is about something: legal-history is no legal notice.
+BOXES = set(
+    "area bar block body bottom box btn button buttons card center col column container content desktop fixed grid group header heading "
+    "hero holder icon icons image img inner inline item items js label large layout left link links list main message mobile module msg "
+    "articles article outer page pages panel posts post primary right row secondary section site slot small sticky strip text thread "
+    "title top unit view wide wrap wrapper zone us our ui div".split()
+)
 #: Words that only say how a container is laid out, or what it wraps, if they come first.
 LAYOUT = set("with has no without".split())
 CLOSES = {
@@ -77,37 +85,71 @@ def _marked(attrs: dict[str, str], in_article: bool) -> str:
         parts = _PART.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
         if not parts or parts[0] in LAYOUT:
             continue
-        if COMMENTS & set(parts):
+        words = set(parts)
+        if not words <= MARKS | BOXES:
+            continue
+        if COMMENTS & words:
             return "comments"
-        if MARKS & set(parts) or (parts == ["header"] or "site" in parts and "header" in parts) and not in_article:
+        if MARKS & words or (parts == ["header"] or "site" in parts and "header" in parts) and not in_article:
             return "marked"
     return ""
 
 
+class _Open:
+    """An open element: its name, why it is skipped ("" if it isn't), whether it
+    lies inside an article or main, and the skipped element around that article."""
+
+    __slots__ = ("name", "why", "inside", "around", "closed")
+
+    def __init__(self, name: str, why: str, inside: str, around: _Open | None):
+        self.name, self.why, self.inside, self.around = name, why, inside, around
+        self.closed = False
+
+
 class _Page:
-    """One pass over a page: blocks as (kind, text); kind is keep, drop or open."""
+    """One pass over a page: blocks as (kind, text); kind is keep, drop or open.
+
+    An article inside a skipped element goes with it, if that element is closed
+    after it; one that was left open by mistake does not hide the article."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str]] = []
+        self.found: list[tuple[str, _Open | None, str]] = []
         self.text: list[str] = []
-        self.stack: list[tuple[str, str, bool]] = []  # name, why it is skipped, inside an article or main
-        self.articles = self.mains = 0
+        self.off: list[str] = []  # skipped text; its element may be in the midst of a paragraph
+        self.at = _Open("", "", "", None)
+        self.stack: list[_Open] = []
         self._scan(source)
         self._flush()
+        hidden = lambda o: o is not None and o.closed
+        self.blocks = [("drop" if hidden(around) else kind, words) for kind, around, words in self.found]
+
+    def _top(self) -> _Open:
+        return self.stack[-1] if self.stack else _Open("", "", "", None)
+
+    def _say(self, text: str) -> None:
+        top = self._top()
+        if top.why:
+            self.off.append(text)
+        else:
+            if not self.text:
+                self.at = top
+            self.text.append(text)
 
     def _flush(self) -> None:
         if self.text:
-            words = " ".join("".join(self.text).split())
+            if words := " ".join("".join(self.text).split()):
+                self.found.append((self.at.inside or "open", self.at.around, words))
             self.text = []
-            if words:
-                _, why, inside = self.stack[-1] if self.stack else ("", "", "")
-                self.blocks.append(("drop" if why else inside or "open", words))
+        if self.off:
+            if words := " ".join("".join(self.off).split()):
+                self.found.append(("drop", None, words))
+            self.off = []
 
     def _scan(self, source: str) -> None:
         at = 0
         while m := _TAG.search(source, at):
             if m.start() > at:
-                self.text.append(html.unescape(source[at : m.start()]))
+                self._say(html.unescape(source[at : m.start()]))
             at = m.end()
             name = (m[2] or m[5] or "").lower()
             if not name:
@@ -117,21 +159,22 @@ class _Page:
             elif name in RAW:
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
                 at = close.end() if close else len(source)
-                self.text.append(" " if name in ("select", "svg", "math") else "")
+                if name in ("select", "svg", "math"):
+                    self._say(" ")
             else:
                 self._start(name, m[3] or m[6] or "")
         if at < len(source):
-            self.text.append(html.unescape(source[at:]))
+            self._say(html.unescape(source[at:]))
 
     def _pop(self, names: set[str], stop: set[str]) -> None:
         """Close the innermost open element of names, unless one of stop is inside it."""
         for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in names:
-                if self.stack[k][0] in BLOCK or self.stack[k][1]:
+            if self.stack[k].name in names:
+                if self.stack[k].name in BLOCK:
                     self._flush()
                 del self.stack[k:]
                 return
-            if self.stack[k][0] in stop:
+            if self.stack[k].name in stop:
                 return
 
     def _start(self, name: str, raw: str) -> None:
@@ -139,39 +182,37 @@ class _Page:
             self._flush()
             self._pop({"p"}, BLOCK - {"p"})
         elif name in ("br", "td", "th", "img", "input"):
-            self.text.append(" ")
+            self._say(" ")
         if name in CLOSES:
             self._pop(*CLOSES[name])
         if name in VOID or raw.endswith("/") and name not in BLOCK:
             return
-        _, why, inside = self.stack[-1] if self.stack else ("", "", "")
+        top = self._top()
+        why, inside, around = top.why, top.inside, top.around
         mark = _marked(_attributes(raw), bool(inside)) if name not in ("html", "body") else ""
-        if name in ("article", "main") and mark != "comments" and why not in ("comments", "aside", "footer"):
-            if name == "article" and inside != "article":
-                # The article shows even inside an element that was left open by mistake.
-                why, inside = "", "article"
-                self.articles += 1
-            elif name == "main" and not inside:
-                why, inside = "", "main"
-                self.mains += 1
+        if mark:
+            why = why or mark
+        elif name in ("article", "main") and why not in ("comments", "aside", "footer"):
+            if name == "article" and inside != "article" or name == "main" and not inside:
+                if why:
+                    around = next(o for o in self.stack if o.why)
+                why, inside = "", name
         elif not why:
-            why = name if name in NEVER else "header" if name == "header" and not inside else mark
-        self._flush() if why and name not in BLOCK else None
-        self.stack.append((name, why, inside))
+            why = name if name in NEVER else "header" if name == "header" and not inside else ""
+        self.stack.append(_Open(name, why, inside, around))
 
     def _end(self, name: str) -> None:
         if name in BLOCK:
             self._flush()
         elif name == "br":
-            self.text.append(" ")
+            self._say(" ")
         stop = set() if name in ("html", "body", "article", "main", "div", "section") else {"article", "main", "table"} - {name}
         for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == name:
-                if self.stack[k][1] and name not in BLOCK:
-                    self._flush()
+            if self.stack[k].name == name:
+                self.stack[k].closed = True
                 del self.stack[k:]
                 return
-            if self.stack[k][0] in stop:
+            if self.stack[k].name in stop:
                 return
 
 
@@ -179,7 +220,7 @@ def parse(source: str | None) -> tuple[list[str] | None, list[str], list[str]]:
     """(kept blocks, or None if the page has no article, open blocks, dropped blocks) in page order."""
     page = _Page(source or "")
     by = {k: [t for kind, t in page.blocks if kind == k] for k in ("article", "main", "open", "drop")}
-    kind = "article" if page.articles else "main" if page.mains else None
+    kind = "article" if by["article"] else "main" if by["main"] else None
     if kind is None and not by["open"]:
         return [], [], by["drop"]
     return (by[kind], [], by["drop"] + by["open"]) if kind else (None, by["open"], by["drop"])

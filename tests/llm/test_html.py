@@ -1,3 +1,6 @@
+import html
+import re
+
 from latticeflow.llm import html_extract, queries
 from latticeflow.llm.common import table
 
@@ -58,3 +61,46 @@ def test_repeated_runs_go_on_pages_without_an_article(spark):
         assert got[i] == html_extract._unique_runs(streams[i], where[i]) == f"start {i} own words number {i * 7}\n\n{i} end"
     assert got[12] == got[0] and got[10] == foot and got[11] == got[13] == "" and got[None] == "only one"
     assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+def test_what_is_not_main_text_goes():
+    around = lambda inner: f"<body><nav>n</nav>{inner}<article><p>Real text.</p></article><footer>f</footer></body>"
+    for inner in (
+        '<div class="related"><article><p>Other</p></article></div>',
+        '<article class="advert sponsored"><p>Buy</p></article>',
+        "<nav><article><p>Teaser</p></article></nav>",
+        '<div id="comments"><article><p>I think</p></article></div>',
+        '<div class="newsletter-signup box"><p>Join</p></div>',
+        '<section class="related-posts"><article><h2>More</h2></article><article><p>More</p></article></section>',
+    ):
+        assert text(around(inner)) == "Real text."
+    assert text("<body><nav><article><p>Only a teaser</p></article></nav><main><p>Main.</p></main></body>") == "Main."
+
+
+def test_names_that_are_about_something_stay():
+    for name in ('class="form-of-government"', 'class="legal-history"', 'id="search-methods"', 'id="related-work"', 'class="notice-of-award"', 'class="comment-on-method"'):
+        assert text(f"<article><p>One</p><section {name}><p>Two</p></section></article>") == "One\n\nTwo"
+    for name in ('class="share-buttons"', 'class="cookie-notice"', 'id="relatedPosts"', 'class="x comment-list"', 'class="ad-slot-1"', 'class="post-comments"'):
+        assert text(f"<article><p>One</p><section {name}><p>Two</p></section></article>") == "One"
+
+
+def test_inline_elements_do_not_split_a_paragraph():
+    assert text("<article><p>Before <button>Click</button>after it.</p></article>") == "Before after it."
+    assert text('<article><p>Word<span class="share-buttons">x</span>, next</p></article>') == "Word, next"
+
+
+def article_by_hand(source):
+    """The main text of the given pages, whose articles hold headings, paragraphs and
+    line breaks only, with end tags of paragraphs left out here and there."""
+    inner = source.split("<article>", 1)[1].split("</article>", 1)[0]
+    inner = re.sub(r"<!--.*?(-->|$)|<(script|style|form|aside|nav|footer)\b.*?</\2>", "", inner, flags=re.S)
+    blocks = re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|section|blockquote|table|tr|pre)\b[^>]*>", inner)
+    words = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<(br|td|th)\b[^>]*>", " ", b))).split()) for b in blocks]
+    return "\n\n".join(w for w in words if w)
+
+
+def test_all_pages_against_another_reading(spark):
+    at = "/root/testdata/sf0.01"
+    pages = {r["page_id"]: r["html"] for r in table(spark, at, "pages").collect()}
+    got = {r["page_id"]: r["text"] for r in queries.op6_html_extraction(spark, at).collect()}
+    assert got == {i: article_by_hand(h) for i, h in pages.items()}
