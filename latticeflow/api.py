@@ -44,13 +44,20 @@ class Mag:
         """The layer's box grown to this magnification, or the view's part of it."""
         return (self.view_box or self.layer.box).aligned(self.mag, ceil=True)
 
-    def table(self) -> DataFrame:
+    def table(self, box: Box | None = None) -> DataFrame:
+        """Voxels, or those of a box in this magnification's voxels: of an array
+        only the files that it touches are read. A layer of several channels has
+        a column c."""
         spark = self.layer.dataset.spark
+        if self.view_box is not None:
+            inner = self.view_box.in_mag(self.mag)
+            box = box.intersected(inner) if box is not None else inner
         if self.layer.data_format == "parquet":
             df = spark.read.parquet(self.path)
         else:
-            df = arrays.read_array(spark, self.path, self.layer.data_format)
-        return region.read(df, self.view_box.in_mag(self.mag)) if self.view_box else df
+            some = {} if box is None or self.layer.data_format == "precomputed" else {"box": box}
+            df = arrays.read_array(spark, self.path, self.layer.data_format, channel=None if self.layer.channels > 1 else 0, **some)
+        return region.read(df, box) if box is not None else df
 
     def view(self, top_left, size) -> Mag:
         """A lazy part; top_left and size in voxels of magnification 1."""
@@ -61,7 +68,7 @@ class Mag:
 
     def read(self, box: Box | None = None, dense: bool = False) -> DataFrame:
         inner = (box or self.box).aligned(self.mag, ceil=True).in_mag(self.mag)
-        return (region.read_dense if dense else region.read)(self.table(), inner)
+        return (region.read_dense if dense else region.read)(self.table(inner), inner)
 
     def chunk_boxes(self, shape=None) -> list[Box]:
         return list(self.box.chunks(shape or Vec.of(self.layer.shard) * self.mag))
@@ -89,21 +96,31 @@ class Mag:
         fs_fresh = f"{path}.new"
         if fs.get_file_info(fs_fresh).is_file is False and fs.get_file_info(fs_fresh).type.name == "Directory":
             fs.delete_dir(fs_fresh)
-        data = data.select("x", "y", "z", F.col("v").cast("long").alias("v")).where("v <> 0")
+        extra = {"c": layer.channels} if layer.channels > 1 else {}
+        kind = "double" if layer.dtype.startswith("float") else "long"
+        data = data.select(*extra, "x", "y", "z", F.col("v").cast(kind).alias("v")).where("v <> 0")
         shape = layer.box.aligned(self.mag, ceil=True).in_mag(self.mag).high
         if layer.data_format == "parquet":
             data.repartitionByRange(*region.chunk_key(layer.shard)).sortWithinPartitions("x", "y", "z").write.parquet(fresh)
         elif layer.data_format == "zarr3":
-            arrays.write_zarr3(data, fresh, shape, layer.dtype, layer.chunk, layer.shard)
+            arrays.write_zarr3(data, fresh, shape, layer.dtype, layer.chunk, layer.shard, extra=extra)
+        elif extra and layer.data_format == "zarr2":
+            raise ValueError("zarr2 layers have one channel")
         elif layer.data_format == "zarr2":
             arrays.write_zarr2(data, fresh, shape, "<" + {"uint": "u", "int": "i", "float": "f"}[layer.dtype.rstrip("0123456789")] + str(int(layer.dtype.lstrip("uintfloa")) // 8), layer.chunk)
         elif layer.data_format == "wkw":
-            arrays.write_wkw(data, fresh, layer.dtype, Vec.of(layer.chunk).x, Vec.of(layer.shard).x // Vec.of(layer.chunk).x)
+            arrays.write_wkw(data, fresh, layer.dtype, Vec.of(layer.chunk).x, Vec.of(layer.shard).x // Vec.of(layer.chunk).x, channels=extra.get("c"))
         else:
             raise ValueError(f"{layer.data_format} is read only")
-        if fs.get_file_info(path).type.name == "Directory":
-            fs.delete_dir(path)
+        # The old one is moved aside first: whenever this stops, one of the two is whole.
+        aside, there = f"{path}.old", fs.get_file_info(path).type.name == "Directory"
+        if there:
+            if fs.get_file_info(aside).type.name == "Directory":
+                fs.delete_dir(aside)
+            fs.move(path, aside)
         fs.move(fs_fresh, path)
+        if there:
+            fs.delete_dir(aside)
         layer.dataset.save()
         return self
 
@@ -135,6 +152,7 @@ class Layer:
     mags: dict[str, Mag] = field(default_factory=dict)
     largest_segment_id: int | None = None
     attachments: list[dict] = field(default_factory=list)
+    channels: int = 1
 
     @property
     def path(self) -> str:
@@ -179,7 +197,7 @@ class Layer:
         mode = schedule.interpolation(mode, self.category)
         table = self.mags[mag_name(source)].table()
         factor = target // source
-        spline = mode in ("bilinear", "bicubic")
+        spline = mode in ("nearest", "bilinear", "bicubic")
         made = resample.resample_tiles(table, factor, mode) if spline else resample.downsample(table, factor, mode)
         return self.get_or_add_mag(target)._store(made)
 
@@ -205,7 +223,8 @@ class Layer:
         shift = [-min(0, v) for v in reach.low]
         full = affine.chain(matrix, affine.translation(shift))
         reach = reach.offset(shift)
-        moved = region.transformed(view.table(), full, source, reach, fill, mask.finest().table() if mask else None)
+        where = mask.finest().table() if mask else None
+        moved = region.transformed(view.table(), full, source, reach, fill, where) if fill else region.moved(view.table(), full, source, reach, where)
         made = self.dataset.add_layer(name, self.category, reach.from_mag(view.mag), self.dtype, self.data_format)
         made.add_mag(view.mag, moved)
         return made
@@ -250,6 +269,7 @@ class Dataset:
             layer.largest_segment_id = at.get("largestSegmentId")
             layer.attachments = at.get("attachments", [])
             layer.chunk, layer.shard = tuple(at.get("chunk", layer.chunk)), tuple(at.get("shard", layer.shard))
+            layer.channels = at.get("numChannels", 1)
             for m in at["mags"]:
                 v = mag(m["mag"])
                 layer.mags[mag_name(v)] = Mag(layer, v)
@@ -261,17 +281,17 @@ class Dataset:
         for x in self.layers.values():
             mags = [{"mag": list(m.mag), "path": f"./{x.name}/{n}"} for n, m in sorted(x.mags.items(), key=lambda kv: kv[1].mag.largest())]
             at = metadata.layer(x.name, x.category, x.box, x.dtype, x.data_format, mags, x.largest_segment_id)
-            rows.append(at | {"chunk": list(x.chunk), "shard": list(x.shard), "attachments": x.attachments})
+            rows.append(at | {"chunk": list(x.chunk), "shard": list(x.shard), "attachments": x.attachments, "numChannels": x.channels})
         metadata.write(self.path, metadata.properties(self.name, self.voxel_size, self.unit, rows))
 
-    def add_layer(self, name: str, category: str, box: Box, dtype: str = "uint32", data_format: str = "parquet", chunk=(32, 32, 32), shard=(128, 128, 128)) -> Layer:
+    def add_layer(self, name: str, category: str, box: Box, dtype: str = "uint32", data_format: str = "parquet", chunk=(32, 32, 32), shard=(128, 128, 128), channels: int = 1) -> Layer:
         if name in self.layers:
             raise ValueError(f"layer {name} exists")
         if category not in CATEGORIES or dtype not in SPARK_TYPES or data_format not in FORMATS:
             raise ValueError("unknown category, type or format")
         if any(v < 0 for v in box.low):
             raise ValueError("a layer can't begin below 0")
-        layer = self.layers[name] = Layer(self, name, category, box, dtype, data_format, tuple(Vec.of(chunk)), tuple(Vec.of(shard)))
+        layer = self.layers[name] = Layer(self, name, category, box, dtype, data_format, tuple(Vec.of(chunk)), tuple(Vec.of(shard)), channels=channels)
         self.save()
         return layer
 
@@ -282,7 +302,7 @@ class Dataset:
         return found or self.add_layer(name, category, box, **how)
 
     def add_layer_like(self, other: Layer, name: str) -> Layer:
-        return self.add_layer(name, other.category, other.box, other.dtype, other.data_format, other.chunk, other.shard)
+        return self.add_layer(name, other.category, other.box, other.dtype, other.data_format, other.chunk, other.shard, other.channels)
 
     def write_layer(self, name: str, category: str, data: DataFrame, box: Box, downsample: bool = False, **how) -> Layer:
         layer = self.add_layer(name, category, box, **how)
@@ -322,7 +342,7 @@ class Dataset:
 
     def copy_layer(self, other: Layer, name: str | None = None, data_format: str | None = None, chunk=None, shard=None) -> Layer:
         target = data_format or (other.data_format if other.data_format in WRITABLE else "zarr3")
-        layer = self.add_layer(name or other.name, other.category, other.box, other.dtype, target, chunk or other.chunk, shard or other.shard)
+        layer = self.add_layer(name or other.name, other.category, other.box, other.dtype, target, chunk or other.chunk, shard or other.shard, other.channels)
         for m in other.mags.values():
             layer.add_mag(m.mag, m.table())
         layer.largest_segment_id = other.largest_segment_id
@@ -359,7 +379,5 @@ class Dataset:
     def from_images(cls, spark: SparkSession, source: str, path: str, layer: str = "color", category: str = "color", dtype: str = "uint8") -> Dataset:
         ds = cls(spark, path)
         data = volumes.read_tiff_stack(spark, source)
-        found = aggregate.bounding_box(data).first()
-        high = [found[c] or 1 for c in ("x1", "y1", "z1")]
-        ds.write_layer(layer, category, data, Box.of(0, high), dtype=dtype)
+        ds.write_layer(layer, category, data, Box.of(0, volumes.stack_shape(spark, source)), dtype=dtype)
         return ds

@@ -68,10 +68,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         Dataset.from_raw(spark, a.source, a.target, a.shape, a.dtype, a.layer_name, order=a.order, flip=a.flip_axes)
     elif a.command == "convert-zarr":
         data = arrays.read_array(spark, a.source)
-        from .operators.aggregate import bounding_box
-
-        found = bounding_box(data).first()
-        Dataset(spark, a.target).write_layer(a.layer_name, a.category, data, Box.of(0, [found[c] for c in ("x1", "y1", "z1")]), dtype=a.dtype)
+        Dataset(spark, a.target).write_layer(a.layer_name, a.category, data, arrays.array_box(a.source), dtype=a.dtype)
     elif a.command == "copy-dataset":
         Dataset.open(spark, a.source).copy(a.target, a.data_format, a.chunk_shape, a.shard_shape)
     elif a.command == "merge-fallback":

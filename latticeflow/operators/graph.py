@@ -164,7 +164,8 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
 def flattened(groups: DataFrame) -> DataFrame:
     """(id, root, depth, path) of a tree of groups (id, parent, name); parents
     null at the top. Levels are joined until one is empty, so depth is not bound
-    by a setting."""
+    by a setting. Groups that no top reaches (a circle, a parent that isn't
+    there) are a ValueError."""
     level = groups.where("parent is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.col("name").alias("path"))
     found = level
     while not level.isEmpty():
@@ -173,15 +174,21 @@ def flattened(groups: DataFrame) -> DataFrame:
             groups.join(above, "parent").select("id", "root", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", "name").alias("path")), "level"
         )
         found = found.unionByName(level)
+    if found.count() < groups.count():
+        raise ValueError("some groups have no way up to a top")
     return found
 
 
 def subtree_sums(groups: DataFrame, values: DataFrame, value: str) -> DataFrame:
-    """For each group the sum of value over itself and all below it."""
+    """For each group the sum of value over itself and all below it. Parents that
+    go in a circle are a ValueError."""
     up = groups.select("id", "parent")
     now = values.groupBy("id").agg(F.sum(value).alias(value))
-    found = now
+    found, most = now, groups.count()
     while not now.isEmpty():
+        if most < 0:
+            raise ValueError("parents go in a circle")
+        most -= 1
         now = written(now.join(up, "id").where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.sum(value).alias(value)), "sums")
         found = found.unionByName(now)
     return found.groupBy("id").agg(F.sum(value).alias(value))

@@ -132,6 +132,34 @@ def transformed(vox: DataFrame, matrix: affine.Matrix, source: Box, target: Box,
     return points.join(values, ["sx", "sy", "sz"], "left").select(*AXES, F.coalesce("v", F.lit(fill)).cast("long").alias("v"))
 
 
+def moved(vox: DataFrame, matrix: affine.Matrix, source: Box, target: Box | None = None, mask: DataFrame | None = None, step=1) -> DataFrame:
+    """The voxels that transformed takes from stored ones, over all of the target
+    or without bounds; everything else there is the fill.
+
+    Each stored voxel goes to the few points around its place whose source point
+    rounds to it, so the work follows the voxels, not the target's volume, and
+    needs no join."""
+    values = (masked(vox, mask) if mask is not None else vox).where("v <> 0")
+    centre = affine.apply(matrix, Vec.columns())
+    reach = [sum(abs(f) for f in row[:3]) / 2 + 1e-6 for row in matrix[:3]]
+    names = [f"t{a}" for a in AXES]
+    at = values.select(
+        *AXES, "v", *extra_axes(vox),
+        *[F.struct(F.ceil(c - h).alias("a"), F.floor(c + h).alias("b")).alias(n) for c, h, n in zip(centre, reach, names, strict=True)],
+    )
+    for n in names:
+        points = F.when(F.col(f"{n}.a") <= F.col(f"{n}.b"), F.sequence(f"{n}.a", f"{n}.b"))
+        at = at.withColumn(n, F.explode(points))
+    back = affine.apply(affine.inverse(matrix), Vec.columns("t"))
+    ok = [F.floor(p + 0.5) == F.col(a) for p, a in zip(back, AXES, strict=True)]
+    ok += [t for p, a, b, s in zip(back, source.low, source.high, Vec.of(step), strict=True) for t in (p >= a, p <= b - s)]
+    for t in ok:
+        at = at.where(t)
+    if target is not None:
+        at = at.where(target.contains(Vec.columns("t")))
+    return at.select(*extra_axes(vox), *[F.col(n).alias(a) for n, a in zip(names, AXES, strict=True)], "v")
+
+
 def slice_batches(vox: DataFrame, axis: str, size: int) -> DataFrame:
     """What a writer that buffers size slices flushes: per batch the slices, the extent and the voxels."""
     others = [a for a in AXES if a != axis]
@@ -151,58 +179,82 @@ def tiles(vox: DataFrame, size: int) -> DataFrame:
 
 
 def pack_chunk(a: np.ndarray) -> bytes:
-    """A dense block as bytes: 64-bit values in Fortran order, zstd."""
-    return zstandard.ZstdCompressor(level=1).compress(np.asarray(a, np.int64).tobytes(order="F"))
+    """A dense block as bytes: its kind (i or f), then 64-bit values in Fortran order, zstd."""
+    kind = np.float64 if a.dtype.kind == "f" else np.int64
+    return (b"f" if a.dtype.kind == "f" else b"i") + zstandard.ZstdCompressor(level=1).compress(np.asarray(a, kind).tobytes(order="F"))
 
 
 def unpack_chunk(shape, data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int64).reshape(shape, order="F")
+    kind = np.float64 if data[:1] == b"f" else np.int64
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), kind).reshape(shape, order="F")
+
+
+def is_real(vox: DataFrame) -> bool:
+    """Whether the values are floating numbers."""
+    return vox.schema["v"].dataType.typeName() in ("double", "float")
+
+
+def extra_axes(vox: DataFrame) -> list[str]:
+    """Columns beside x, y, z and v: channels, time and so on."""
+    return [c for c in vox.columns if c not in (*AXES, "v")]
 
 
-def to_chunks(vox: DataFrame, shape) -> DataFrame:
+def to_chunks(vox: DataFrame, shape, extra: dict[str, int] | None = None) -> DataFrame:
     """Voxels to dense chunks (CHUNK). Rows are dealt and sorted by chunk, so a
     task holds one chunk at a time, whose size is that of its shape; all-zero
-    chunks are left out."""
-    shape = Vec.of(shape)
-    sides = tuple(shape)
+    chunks are left out. extra: sizes of the axes before x, which a chunk holds
+    whole (shape then has them too)."""
+    shape, extra = Vec.of(shape), extra or {}
+    sides, more = tuple(shape), tuple(extra.values())
+    kind = np.float64 if is_real(vox) else np.int64
     kinds = pa.schema([("cx", pa.int64()), ("cy", pa.int64()), ("cz", pa.int64()), ("shape", pa.list_(pa.int32())), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, dense = None, None
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"cx": key[0], "cy": key[1], "cz": key[2], "shape": list(sides), "data": pack_chunk(dense)}], schema=kinds)
+            return pa.RecordBatch.from_pylist([{"cx": key[0], "cy": key[1], "cz": key[2], "shape": [*more, *sides], "data": pack_chunk(dense)}], schema=kinds)
 
         for b in batches:
             if not b.num_rows:
                 continue
-            m = np.stack([b.column(i).to_numpy() for i in range(7)], axis=1)
+            m = np.stack([b.column(i).to_numpy() for i in range(6 + len(more))], axis=1)
+            values = b.column(6 + len(more)).to_numpy()
             cuts = np.flatnonzero((m[1:, :3] != m[:-1, :3]).any(axis=1)) + 1
-            for part in np.split(m, cuts):
+            for part, v in zip(np.split(m, cuts), np.split(values, cuts), strict=True):
                 if key is None or tuple(part[0, :3]) != key:
                     if key is not None:
                         yield flush()
-                    key, dense = tuple(int(v) for v in part[0, :3]), np.zeros(sides, np.int64)
-                dense[tuple((part[:, 3:6] - part[:, :3] * sides).T)] = part[:, 6]
+                    key, dense = tuple(int(v) for v in part[0, :3]), np.zeros((*more, *sides), kind)
+                dense[(*part[:, 6:].T, *(part[:, 3:6] - part[:, :3] * sides).T)] = v
         if key is not None:
             yield flush()
 
-    keyed = vox.where("v <> 0").select(*chunk_key(shape), *[F.col(a).cast("long").alias(a) for a in (*AXES, "v")])
+    value = F.col("v").cast("double" if is_real(vox) else "long").alias("v")
+    keyed = vox.where("v <> 0").select(*chunk_key(shape), *[F.col(a).cast("long").alias(a) for a in (*AXES, *extra)], value)
     return keyed.repartition("cx", "cy", "cz").sortWithinPartitions("cx", "cy", "cz").mapInArrow(run, CHUNK)
 
 
-def from_chunks(chunks: DataFrame) -> DataFrame:
-    """Non-zero voxels of dense chunks."""
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows; only one chunk's bytes are Python's at a time."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield b.slice(k, 1).to_pylist()[0]
+
+
+def from_chunks(chunks: DataFrame, real: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Non-zero voxels of dense chunks; real if their values are floating numbers."""
+    names = [*extra, *AXES, "v"]
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                a = unpack_chunk(r["shape"], r["data"])
-                p = np.argwhere(a)
-                q = p + np.array((r["cx"], r["cy"], r["cz"])) * a.shape
-                yield pa.RecordBatch.from_pydict({"x": q[:, 0], "y": q[:, 1], "z": q[:, 2], "v": a[tuple(p.T)]})
+        for r in _one_by_one(batches):
+            a = unpack_chunk(r["shape"], r["data"])
+            p = np.argwhere(a)
+            low = [0] * len(extra) + [r[c] * s for c, s in zip(("cx", "cy", "cz"), a.shape[len(extra) :], strict=True)]
+            q, v = p + np.array(low), a[tuple(p.T)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(q[:, i]) for i in range(q.shape[1])), pa.array(v.astype(np.float64 if real else np.int64))], names=names)
 
-    return chunks.mapInArrow(unpack, "x long, y long, z long, v long")
+    return chunks.mapInArrow(unpack, ", ".join(f"{n} long" for n in names[:-1]) + f", v {'double' if real else 'long'}")
 
 
 def map_chunks(chunks: DataFrame, fn: Callable[[Box, np.ndarray], dict], schema: str) -> DataFrame:
@@ -210,14 +262,10 @@ def map_chunks(chunks: DataFrame, fn: Callable[[Box, np.ndarray], dict], schema:
     the order of chunks means nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                a = unpack_chunk(r["shape"], r["data"])
-                low = Vec(*(int(r[k]) * s for k, s in zip(("cx", "cy", "cz"), r["shape"], strict=True)))
-                rows.append({"cx": r["cx"], "cy": r["cy"], "cz": r["cz"]} | fn(Box(low, low + Vec(*r["shape"])), a))
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows)
+        for r in _one_by_one(batches):
+            a = unpack_chunk(r["shape"], r["data"])
+            low = Vec(*(int(r[k]) * s for k, s in zip(("cx", "cy", "cz"), r["shape"], strict=True)))
+            yield pa.RecordBatch.from_pylist([{"cx": r["cx"], "cy": r["cy"], "cz": r["cz"]} | fn(Box(low, low + Vec(*r["shape"])), a)])
 
     return chunks.mapInArrow(run, f"cx long, cy long, cz long, {schema}")
 
@@ -232,13 +280,10 @@ def zip_chunks(source: DataFrame, target: DataFrame, fn: Callable[[np.ndarray |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load = lambda s, d: None if d is None else unpack_chunk(s, d)
-        for b in batches:
-            rows = []
-            for x in b.to_pylist():
-                got = np.asarray(fn(load(x["s_shape"], x["s_data"]), load(x["t_shape"], x["t_data"])), np.int64)
-                rows.append({"cx": x["cx"], "cy": x["cy"], "cz": x["cz"], "shape": list(got.shape), "data": pack_chunk(got)})
-            if rows:
-                kinds = [("cx", pa.int64()), ("cy", pa.int64()), ("cz", pa.int64()), ("shape", pa.list_(pa.int32())), ("data", pa.binary())]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
+        kinds = [("cx", pa.int64()), ("cy", pa.int64()), ("cz", pa.int64()), ("shape", pa.list_(pa.int32())), ("data", pa.binary())]
+        for x in _one_by_one(batches):
+            got = np.asarray(fn(load(x["s_shape"], x["s_data"]), load(x["t_shape"], x["t_data"])))
+            row = {"cx": x["cx"], "cy": x["cy"], "cz": x["cz"], "shape": list(got.shape), "data": pack_chunk(got)}
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema(kinds))
 
     return both.mapInArrow(run, CHUNK)

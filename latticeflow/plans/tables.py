@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,17 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset (tests on one machine)."""
+    """spark.checkpoint.dir, or what setCheckpointDir set, or a folder of our own on
+    one machine. A cluster without one is an error: its executors would write to
+    disks that the others can't read."""
     global _own_dir
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    context = spark.sparkContext
+    if (set_ := context._jsc.sc().getCheckpointDir()).isDefined():
+        return set_.get().rstrip("/")
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="latticeflow-")
     return _own_dir

@@ -144,3 +144,87 @@ def test_spanning_links(spark):
     pairs = spark.createDataFrame([(1, 2, 1.0), (2, 3, 2.0), (1, 3, 2.5), (4, 5, 1.0)], "tree_a long, tree_b long, distance double")
     got = {(r["tree_a"], r["tree_b"]) for r in graph.spanning_links(pairs).collect()}
     assert got == {(1, 2), (2, 3), (4, 5)}
+
+
+def spline_by_hand(line, at):
+    """A quadratic spline through line, continued by its ends, at places; its
+    coefficients are found by repeated sweeps over the equations."""
+    far = 30
+    f = [line[0]] * far + list(line) + [line[-1]] * far
+    c = list(f)
+    for _ in range(200):
+        c = [(f[i] - (c[max(i - 1, 0)] + c[min(i + 1, len(f) - 1)]) / 8) / 0.75 for i in range(len(f))]
+
+    def b(t):
+        t = abs(t)
+        return 0.75 - t * t if t <= 0.5 else (1.5 - t) ** 2 / 2 if t <= 1.5 else 0.0
+
+    return [sum(c[i] * b(x + far - i) for i in range(len(f))) for x in at]
+
+
+def test_zoom_against_a_spline_by_hand():
+    g = np.random.default_rng(8)
+    for n in (4, 8, 12):
+        line = g.integers(0, 200, n).astype(float)
+        at = np.linspace(0, n - 1, n // 2)
+        got = resample.zoom(line.reshape(n, 1, 1), (2, 1, 1), 2).ravel()
+        assert np.allclose(got, spline_by_hand(line.tolist(), at.tolist()), atol=1e-6)
+        assert np.allclose(resample.zoom(line.reshape(1, n, 1), (1, 2, 1), 0).ravel(), line[np.floor(at + 0.5).astype(int)])
+        low = np.minimum(np.floor(at).astype(int), n - 2)
+        assert np.allclose(resample.zoom(line.reshape(1, 1, n), (1, 1, 2), 1).ravel(), line[low] + (at - low) * (line[low + 1] - line[low]))
+    smooth = resample.zoom(np.arange(16.0).reshape(16, 1, 1) ** 2, (2, 1, 1), 2).ravel()
+    assert smooth[0] == pytest.approx(0, abs=1e-6) and smooth[-1] == pytest.approx(225)  # ends are kept, not blurred
+
+
+def test_spline_tiles(spark, cube):
+    padded = np.zeros((16, 8, 8))
+    padded[:9, :8, :6] = cube
+    for mode, order in (("nearest", 0), ("bilinear", 1), ("bicubic", 2)):
+        got = array(resample.resample_tiles(table(spark, cube), 2, mode, tile=4), (8, 4, 4))
+        halves = [resample.zoom(padded[i : i + 8], (2, 2, 2), order) for i in (0, 8)]
+        want = np.concatenate(halves)
+        assert (got == (np.sign(want) * np.floor(np.abs(want) + 0.5 + 1e-9))).all()
+
+
+def test_moved_is_what_transformed_takes_from_stored_voxels(spark, cube):
+    mask = cube * (np.random.default_rng(9).random(cube.shape) < 0.5)
+    source = Box.of(0, cube.shape)
+    turns = [
+        affine.translation((3, -2, 1)),
+        affine.scale((2, 0.5, 1)),
+        affine.scale((3, 1, 1)),
+        affine.chain(affine.rotation("z", 90), affine.translation((9, 0, 0))),
+        affine.chain(affine.rotation("y", 30), affine.scale(1.5)),
+    ]
+    for m in turns:
+        target = affine.apply_to_box(m, source).padded(2, 2)
+        for where in (None, table(spark, mask)):
+            dense = region.transformed(table(spark, cube), m, source, target, mask=where).where("v <> 0")
+            sparse = region.moved(table(spark, cube), m, source, mask=where)
+            assert sorted(map(tuple, sparse.select("x", "y", "z", "v").collect())) == sorted(map(tuple, dense.collect()))
+        part = Box(target.low, source.high)
+        assert region.moved(table(spark, cube), m, source, part).count() == region.read(region.moved(table(spark, cube), m, source), part).count()
+
+
+def test_real_values_and_channels_stay_what_they_are(spark, cube):
+    rows = [(c, *map(int, p), float(cube[tuple(p)]) / 4 + c) for c in (0, 1) for p in np.argwhere(cube)]
+    both = spark.createDataFrame(rows, "c long, x long, y long, z long, v double")
+    for mode in ("max", "median", "mode", "min"):
+        got = resample.downsample(both, 2, mode)
+        assert got.columns == ["c", "x", "y", "z", "v"] and dict(got.dtypes)["v"] == "double"
+        for c in (0, 1):
+            one = resample.downsample(both.where(f"c = {c}").drop("c"), 2, mode)
+            assert sorted(map(tuple, got.where(f"c = {c}").drop("c").collect())) == sorted(map(tuple, one.collect()))
+    chunks = region.to_chunks(both, (4, 4, 4), {"c": 2})
+    assert sorted(map(tuple, region.from_chunks(chunks, real=True, extra=("c",)).collect())) == sorted(rows)
+    assert sorted(r["v"] for r in resample.downsample(both.where("c = 0").drop("c"), 2, "max").collect())[-1] == 0.75
+
+
+def test_circles_of_groups_are_an_error(spark):
+    groups = spark.createDataFrame([(1, None, "a"), (2, 3, "b"), (3, 2, "c")], "id long, parent long, name string")
+    values = spark.createDataFrame([(1, 5), (2, 6)], "id long, n long")
+    with pytest.raises(ValueError, match="top"):
+        graph.flattened(groups)
+    with pytest.raises(ValueError, match="circle"):
+        graph.subtree_sums(groups, values, "n")
+    assert {tuple(r) for r in graph.subtree_sums(groups.where("id = 1"), values.where("id = 1"), "n").collect()} == {(1, 5)}

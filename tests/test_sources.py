@@ -177,3 +177,74 @@ def test_slice_stream(spark, cube, root):
         rows.where(F.col("z") == z).coalesce(1).write.mode("append").parquet(f"{root}/in")
     slices.ingest(spark, f"{root}/in", f"{root}/out", f"{root}/check", 7).awaitTermination()
     assert (array(spark.read.parquet(f"{root}/out").select("x", "y", "z", "v"), SHAPE) == cube).all()
+
+
+def test_floats_come_back_whole(spark, root):
+    rows = [(0, 0, 0, 1.75), (5, 3, 2, 0.4000000059604645), (39, 32, 19, -2.5)]
+    v = spark.createDataFrame(rows, "x long, y long, z long, v double")
+    arrays.write_zarr3(v, f"{root}/z3", SHAPE, "float32", (8, 8, 8), (16, 16, 16))
+    arrays.write_zarr2(v, f"{root}/z2", SHAPE, "<f4", (16, 16, 8))
+    arrays.write_wkw(v, f"{root}/w", "float32", 8, 2)
+    for name in ("z3", "z2", "w"):
+        got = arrays.read_array(spark, f"{root}/{name}")
+        assert dict(got.dtypes)["v"] == "double" and sorted(map(tuple, got.collect())) == rows
+    ds = Dataset(spark, f"{root}/ds")
+    layer = ds.write_layer("raw", "color", v, Box.of(0, SHAPE), dtype="float32", data_format="zarr3")
+    assert sorted(map(tuple, layer.mags["1"].read().collect())) == rows
+    assert layer.downsample_mag(1, 2, "max").table().where("v = 1.75").count() == 1
+
+
+def test_raw_floats(spark, root):
+    a = np.random.default_rng(2).random((6, 5, 4)).astype("float32")
+    put(f"{root}/a.raw", a.tobytes(order="F"))
+    got = {tuple(r)[:3]: r["v"] for r in volumes.read_raw(spark, f"{root}/a.raw", a.shape, "float32").collect()}
+    assert got == {tuple(map(int, p)): float(a[tuple(p)]) for p in np.argwhere(a)}
+
+
+def test_channels_and_further_axes(spark, root):
+    g = np.random.default_rng(3)
+    cells = {(int(t), int(c), *map(int, p)) for t, c, p in zip(g.integers(0, 3, 200), g.integers(0, 2, 200), g.integers(0, 20, (200, 3)), strict=True)}
+    rows = sorted((*k, 1 + i) for i, k in enumerate(sorted(cells)))
+    v = spark.createDataFrame(rows, "t long, c long, x long, y long, z long, v long")
+    arrays.write_zarr3(v, f"{root}/nd", (20, 20, 20), "uint16", (8, 8, 8), (16, 16, 16), extra={"t": 3, "c": 2})
+    everything = arrays.read_array(spark, f"{root}/nd", channel=None)
+    assert everything.columns == v.columns and sorted(map(tuple, everything.collect())) == rows
+    assert sorted(map(tuple, arrays.read_array(spark, f"{root}/nd", channel=1).collect())) == sorted(r[2:] for r in rows if r[:2] == (0, 1))
+    two = v.where("t = 0").drop("t")
+    arrays.write_wkw(two, f"{root}/w", "uint16", 8, 2, channels=2)
+    assert sorted(map(tuple, arrays.read_array(spark, f"{root}/w", channel=None).collect())) == sorted(r[1:] for r in rows if r[0] == 0)
+    for form in ("parquet", "zarr3", "wkw"):
+        ds = Dataset(spark, f"{root}/{form}")
+        layer = ds.write_layer("color", "color", two, Box.of(0, (20, 20, 20)), dtype="uint16", data_format=form, chunk=(8, 8, 8), shard=(16, 16, 16), channels=2)
+        layer.downsample_mag(1, 2, "max")
+        again = Dataset.open(spark, f"{root}/{form}").layers["color"]
+        assert again.channels == 2 and sorted(map(tuple, again.mags["1"].read().collect())) == sorted(r[1:] for r in rows if r[0] == 0)
+        assert {r["c"] for r in again.mags["2"].table().collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("form", ["zarr3", "zarr2", "wkw"])
+def test_a_box_reads_only_its_files(spark, cube, root, form):
+    ds = Dataset(spark, f"{root}/ds")
+    m = ds.write_layer("a", "color", table(spark, cube), Box.of(0, SHAPE), dtype="uint16", data_format=form, chunk=(8, 8, 8), shard=(16, 16, 16)).mags["1"]
+    box = Box.of((10, 3, 2), (5, 10, 20))
+    want = np.zeros_like(cube)
+    want[10:15, 3:13, 2:20] = cube[10:15, 3:13, 2:20]
+    assert (array(m.read(Box.of((10, 3, 2), (5, 10, 18))), SHAPE) == want).all()
+    files = arrays.read_array(spark, m.path, box=box).inputFiles()
+    side = 8 if form == "zarr2" else 16
+    spots = {tuple(p // side) for p in np.argwhere(cube) if all(lo // side * side <= v < -(-hi // side) * side for v, lo, hi in zip(p, box.low, box.high, strict=True))}
+    assert len(files) == len(spots) < len(arrays.read_array(spark, m.path).inputFiles())
+    assert arrays.read_array(spark, m.path, box=Box.of((1000, 0, 0), (5, 5, 5))).count() == 0
+
+
+def test_boxes_are_those_of_arrays_and_images(spark, root):
+    one = spark.createDataFrame([(1, 1, 0, 5)], "x long, y long, z long, v long")
+    arrays.write_zarr3(one.limit(0), f"{root}/zeros", (20, 10, 5), "uint8", (8, 8, 8), (8, 8, 8))
+    assert cli.run(spark, ["convert-zarr", f"{root}/zeros", f"{root}/ds", "--dtype", "uint8"]) == 0
+    assert tuple(Dataset.open(spark, f"{root}/ds").layers["color"].box.high) == (20, 10, 5)
+    for z in range(3):
+        page = np.zeros((7, 9), "uint8")
+        page[1, 1] = z == 0
+        put(f"{root}/images/s{z}.tif", volumes.tiff_bytes(page))
+    assert volumes.stack_shape(spark, f"{root}/images") == (9, 7, 3)
+    assert tuple(Dataset.from_images(spark, f"{root}/images", f"{root}/ds2").layers["color"].box.high) == (9, 7, 3)
