@@ -445,7 +445,17 @@ def upsample_2x(spark, d):
     return resample.upsample(vox(spark, d), 2)
 
 
-@query()
+# Tiles of 64 voxels become 32, first and last samples in place: sample k lies at 63 k / 31.
+_NEAREST = "taps AS (SELECT k, r, 1.0::DOUBLE AS w FROM range(32) a(k), range(64) b(r) WHERE r = floor(k * 63.0::DOUBLE / 31 + 0.5))"
+_LINEAR = "taps AS (SELECT k, r, 1 - abs(k * 63.0::DOUBLE / 31 - r) AS w FROM range(32) a(k), range(64) b(r) WHERE abs(k * 63.0::DOUBLE / 31 - r) < 1)"
+_TILES = (
+    ", sums AS (SELECT x // 64 * 32 + kx.k AS x, y // 64 * 32 + ky.k AS y, z // 64 * 32 + kz.k AS z, sum(v * kx.w * ky.w * kz.w) AS s FROM vox "
+    "JOIN taps kx ON kx.r = x % 64 JOIN taps ky ON ky.r = y % 64 JOIN taps kz ON kz.r = z % 64 WHERE v <> 0 GROUP BY 1, 2, 3) "
+    "SELECT x, y, z, floor(s + 0.5)::BIGINT AS v FROM sums WHERE floor(s + 0.5) <> 0"
+)
+
+
+@query(sql("vox", then=f", {_LINEAR}{_TILES}").replace(") , taps", "), taps"))
 def downsample_bilinear(spark, d):
     return resample.resample_tiles(vox(spark, d), 2, "bilinear")
 
@@ -870,7 +880,7 @@ def downsample_max_channels(spark, d):
     return resample.downsample(vox(spark, d).select(*AXES, (F.col("v") % 2).alias("c"), (F.col("v") / 8).alias("v")), 2, "max")
 
 
-@query()
+@query(sql("vox", then=f", {_NEAREST}{_TILES}").replace(") , taps", "), taps"))
 def downsample_nearest(spark, d):
     return resample.resample_tiles(vox(spark, d), 2, "nearest")
 
