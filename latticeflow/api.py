@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +19,13 @@ from .functions.geometry import Box, Vec, mag, mag_name
 from .functions.scalars import SPARK_TYPES
 from .operators import aggregate, region, resample
 from .plans import schedule
-from .sources import arrays, metadata, volumes
-from .sources.files import open_fs
+from .sources import arrays, metadata, transfer, volumes
+from .sources.files import get, open_fs, put
 
 CATEGORIES = ("color", "segmentation")
+#: Kinds of attachments, and those of which a layer has one at most (fixed values).
+ATTACHMENTS = ("meshes", "agglomerates", "connectomes", "segmentIndex", "segmentStatistics", "cumsum")
+SINGLE = ("segmentIndex", "segmentStatistics", "cumsum")
 FORMATS = ("parquet", "zarr3", "zarr2", "wkw", "n5", "precomputed")
 WRITABLE = ("parquet", "zarr3", "zarr2", "wkw")
 
@@ -70,6 +74,11 @@ class Mag:
         inner = (box or self.box).aligned(self.mag, ceil=True).in_mag(self.mag)
         return (region.read_dense if dense else region.read)(self.table(inner), inner)
 
+    def used_storage(self) -> int:
+        """Bytes of its files."""
+        files = self.layer.dataset.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.path)
+        return files.agg(F.sum("length")).first()[0] or 0
+
     def chunk_boxes(self, shape=None) -> list[Box]:
         return list(self.box.chunks(shape or Vec.of(self.layer.shard) * self.mag))
 
@@ -234,12 +243,82 @@ class Layer:
         self.dataset.save()
         return self.largest_segment_id
 
-    def add_attachment(self, kind: str, name: str, path: str) -> None:
-        if any(a["kind"] == kind and a["name"] == name for a in self.attachments):
+    def add_mag_from_files(self, m, path: str, move: bool = False, extend_box: bool = True) -> Mag:
+        """An array that is there already becomes a magnification: moved in, or
+        linked. Its type and format must be the layer's; the layer's box grows to
+        the array's unless it is kept."""
+        m = mag(m)
+        driver = arrays.detect(path)
+        if driver != self.data_format:
+            raise ValueError(f"the array is {driver}, the layer {self.data_format}")
+        if mag_name(m) in self.mags:
+            raise ValueError(f"magnification {mag_name(m)} exists")
+        made = Mag(self, m)
+        fs, target = open_fs(made.path)
+        fs.create_dir(target.rpartition("/")[0])
+        if move:
+            fs.move(open_fs(path)[1], target)
+        else:
+            transfer.transfer(self.dataset.spark, path, made.path, "symlink")
+        if extend_box:
+            self.box = self.box.hull(arrays.array_box(made.path, driver).from_mag(m))
+        self.mags[mag_name(m)] = made
+        self.dataset.save()
+        return made
+
+    def attachment(self, kind: str, name: str) -> dict:
+        found = [a for a in self.attachments if (a["kind"], a["name"]) == (kind, name)]
+        if not found:
+            raise KeyError(f"{kind} {name}")
+        return found[0]
+
+    def add_attachment(self, kind: str, name: str, path: str, copy: bool = False) -> None:
+        """Register what lies at path, or a copy of it beside the layer. Names are
+        unique within a kind, and of some kinds there is one at most."""
+        if kind not in ATTACHMENTS:
+            raise ValueError(f"no attachments are called {kind}")
+        if any(a["kind"] == kind and (a["name"] == name or kind in SINGLE) for a in self.attachments):
             raise ValueError(f"attachment {name} exists")
+        if copy:
+            target = f"{self.path}/{kind}/{path.rstrip('/').rpartition('/')[2]}"
+            fs, source = open_fs(path)
+            if fs.get_file_info(source).type.name == "Directory":
+                transfer.copy_tree(self.dataset.spark, path, target)
+            else:
+                put(target, get(path))
+            path = target
         self.attachments.append({"kind": kind, "name": name, "path": path})
         self.dataset.save()
 
+    def rename_attachment(self, kind: str, name: str, to: str) -> None:
+        if any((a["kind"], a["name"]) == (kind, to) for a in self.attachments):
+            raise ValueError(f"attachment {to} exists")
+        self.attachment(kind, name)["name"] = to
+        self.dataset.save()
+
+    def delete_attachment(self, kind: str, name: str, files: bool = False) -> None:
+        """Forget it; its files go only if they lie beside the layer and that is asked for."""
+        found = self.attachment(kind, name)
+        self.attachments.remove(found)
+        if files and found["path"].startswith(f"{self.path}/"):
+            fs, path = open_fs(found["path"])
+            (fs.delete_dir if fs.get_file_info(path).type.name == "Directory" else fs.delete_file)(path)
+        self.dataset.save()
+
+    def detect_attachments(self) -> list[dict]:
+        """Register files of older datasets that only their place tells."""
+        fs, root = open_fs(self.path)
+        for kind in ("meshes", "agglomerates", "connectomes", "segmentIndex"):
+            if fs.get_file_info(f"{root}/{kind}").type.name != "Directory":
+                continue
+            for f in sorted(fs.get_file_info(pafs.FileSelector(f"{root}/{kind}")), key=lambda f: f.path):
+                stem, _, suffix = f.base_name.rpartition(".")
+                if suffix == "hdf5":
+                    self.add_attachment(kind, stem, f"{self.path}/{kind}/{f.base_name}")
+        if fs.get_file_info(f"{root}/agglomerates/cumsum.json").is_file:
+            self.add_attachment("cumsum", "cumsum", f"{self.path}/agglomerates/cumsum.json")
+        return self.attachments
+
     def rename(self, name: str) -> None:
         fs, old = open_fs(self.path)
         del self.dataset.layers[self.name]
@@ -340,6 +419,22 @@ class Dataset:
                 made.copy_layer(x, data_format=data_format, chunk=chunk, shard=shard)
         return made
 
+    def shallow_copy(self, path: str, ignore: tuple[str, ...] = ()) -> Dataset:
+        """A dataset of its own properties whose layers are links to this one's files."""
+        made = Dataset(self.spark, path, self.voxel_size, self.unit)
+        for x in self.layers.values():
+            if x.name in ignore:
+                continue
+            layer = made.add_layer_like(x, x.name)
+            layer.largest_segment_id, layer.attachments = x.largest_segment_id, [dict(a) for a in x.attachments]
+            for n, m in x.mags.items():
+                layer.mags[n] = Mag(layer, m.mag)
+                fs, target = open_fs(layer.mags[n].path)
+                fs.create_dir(target.rpartition("/")[0])
+                transfer.transfer(self.spark, m.path, layer.mags[n].path, "symlink")
+        made.save()
+        return made
+
     def copy_layer(self, other: Layer, name: str | None = None, data_format: str | None = None, chunk=None, shard=None) -> Layer:
         target = data_format or (other.data_format if other.data_format in WRITABLE else "zarr3")
         layer = self.add_layer(name or other.name, other.category, other.box, other.dtype, target, chunk or other.chunk, shard or other.shard, other.channels)

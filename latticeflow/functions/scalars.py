@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,6 +108,42 @@ def byte_ranges(size: Column, chunk: int) -> Column:
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + chunk, size).alias("end")))
 
 
+def epoch_ms() -> Column:
+    """Now, in milliseconds."""
+    return F.unix_millis(F.current_timestamp())
+
+
+def random_color(seed: int | None = None) -> Column:
+    """A random colour (r, g, b, a) of strong saturation and middle lightness."""
+    draw = lambda k: F.rand(None if seed is None else seed + k)
+    hsl = F.struct(draw(0).alias("h"), (0.5 + draw(1) / 2).alias("s"), (0.4 + draw(2) / 5).alias("l"))
+
+    def channel(c, turn):
+        # The share of the full tone at this angle of the wheel.
+        angle = (c["h"] + F.lit(turn / 3 + 1)) % 1 * 6
+        tone = F.least(F.greatest(F.abs(angle - 3) - 1, F.lit(0.0)), F.lit(1.0))
+        return c["l"] + (tone - 0.5) * c["s"] * (1 - F.abs(2 * c["l"] - 1))
+
+    # One draw for all channels: the struct passes through a one-element array.
+    mixed = F.transform(F.array(hsl), lambda c: F.array(channel(c, 0), channel(c, -1), channel(c, 1), F.lit(1.0)))
+    return F.element_at(mixed, 1)
+
+
+def job_resources(text: str) -> dict:
+    """Settings out of JSON, or of 'key=value,key=value' with dashes as underscores and numbers as numbers."""
+    text = text.strip()
+    if text.startswith("{"):
+        return json.loads(text)
+    out = {}
+    for pair in text.split(","):
+        key, equals, value = pair.partition("=")
+        if not equals:
+            raise ValueError(f"not a key=value pair: {pair}")
+        value = value.strip()
+        out[key.strip().replace("-", "_")] = int(value) if re.fullmatch(r"[+-]?\d+", value) else float(value) if re.fullmatch(r"[+-]?\d*\.\d+", value) else value
+    return out
+
+
 def key_values(text: Column) -> Column:
     """A map out of JSON or of 'k=v,k=v' text."""
     return F.when(text.startswith("{"), F.from_json(text, "map<string,string>")).otherwise(F.str_to_map(text, F.lit(","), F.lit("=")))

@@ -97,6 +97,17 @@ def components(edges: DataFrame, source: str = "source", target: str = "target")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def import_graphs(nodes: DataFrame, edges: DataFrame, first: int = 1, radius: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Graphs by name (nodes: tree, node, x, y, z and maybe radius; edges: tree,
+    source, target) under ids of one numbering from first, in the order of tree
+    and node; other attributes of edges are left out."""
+    held = nodes if "radius" in nodes.columns else nodes.withColumn("radius", F.lit(None).cast("double"))
+    made = numbered(held.withColumn("radius", F.coalesce("radius", F.lit(radius))), ["tree", "node"], "id", first=first)
+    end = lambda c: made.select("tree", F.col("node").alias(c), F.col("id").alias(f"{c}_id"))
+    links = edges.select("tree", "source", "target").join(end("source"), ["tree", "source"]).join(end("target"), ["tree", "target"])
+    return made.select("tree", "id", "node", "x", "y", "z", "radius"), links.select("tree", F.col("source_id").alias("source"), F.col("target_id").alias("target"))
+
+
 def agglomerates(segments: DataFrame, edges: DataFrame) -> DataFrame:
     """(segment, agglomerate, position): components numbered from 1 in the order
     of their smallest segment; position counts the members of one from 0."""

@@ -71,5 +71,33 @@ def constant_z(coarsest: Vec) -> Vec:
     return coarsest.replace("z", 1)
 
 
+#: Target voxels a side of a buffer, at most.
+BUFFER = 512
+
+
+def buffer_shape(shard) -> Vec:
+    """Voxels of the coarser magnification that one job makes: a shard's, up to BUFFER a side."""
+    return Vec(*[min(BUFFER, s) for s in Vec.of(shard)])
+
+
+def shard_shape(chunk=(32, 32, 32), shard=None, chunks_per_shard=None) -> Vec | None:
+    """The shard that is asked for, by its shape or in chunks; null if neither is."""
+    if shard is not None and chunks_per_shard is not None:
+        raise ValueError("give a shard's shape or its chunks, not both")
+    if shard is None:
+        return None if chunks_per_shard is None else Vec.of(chunk) * Vec.of(chunks_per_shard)
+    if any(s % c for s, c in zip(Vec.of(shard), Vec.of(chunk), strict=True)):
+        raise ValueError("a shard must hold whole chunks")
+    return Vec.of(shard)
+
+
+def check_chunk_shape(shape, mag, chunk, shard=None) -> None:
+    """A chunk of work must hold whole chunks, or whole shards if it is written."""
+    if any(s < 1 for s in Vec.of(shape)):
+        raise ValueError("a chunk shape must be positive")
+    if any(s % (m * u) for s, m, u in zip(Vec.of(shape), Vec.of(mag), Vec.of(shard or chunk), strict=True)):
+        raise ValueError("a chunk shape must be a multiple of the stored one")
+
+
 def interpolation(mode: str, category: str) -> str:
     return INTERPOLATION.get(category, "median") if mode.lower() == "default" else mode.lower()

@@ -107,6 +107,69 @@ def flat_arrays(members: DataFrame, edges: DataFrame, offsets: DataFrame) -> tup
     return flat, numbered(local, ["agglomerate", "a", "b"], "index", first=0)
 
 
+def from_flat(flat: DataFrame, local: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The inverse of flat_arrays: (segment, agglomerate) and edges (agglomerate,
+    source, target, affinity) by segment id."""
+    first = flat.groupBy("agglomerate").agg(F.min("index").alias("first"))
+    placed = flat.join(first, "agglomerate").select("agglomerate", "segment", (F.col("index") - F.col("first")).alias("at"))
+    end = lambda c, n: placed.select("agglomerate", F.col("at").alias(c), F.col("segment").alias(n))
+    edges = local.join(end("a", "source"), ["agglomerate", "a"]).join(end("b", "target"), ["agglomerate", "b"])
+    return flat.select("segment", "agglomerate"), edges.select("agglomerate", "source", "target", "affinity")
+
+
+#: Names of an attachment's arrays (fixed values).
+ARRAYS = (
+    "segment_to_agglomerate", "agglomerate_to_segments_offsets", "agglomerate_to_segments", "agglomerate_to_positions",
+    "agglomerate_to_edges_offsets", "agglomerate_to_edges", "agglomerate_to_affinities",
+)
+
+
+def write_attachment(members: DataFrame, edges: DataFrame, path: str, positions: DataFrame | None = None, dtype: str = "uint32") -> None:
+    """Agglomerates as a folder of arrays: members (segment, agglomerate, position)
+    as graph.agglomerates gives, edges (source, target, affinity), positions
+    (segment, x, y, z), 0 where unknown. Segments must be 1 to their count."""
+    from ..operators.graph import agglomerate_offsets
+    from .columns import write_column
+
+    found = validate(members).first()
+    if found["from_one"] is False or found["dense"] is False:
+        raise ValueError("segments must be the whole numbers from 1 to their count")
+    offsets = agglomerate_offsets(members, edges)
+    flat, local = flat_arrays(members, edges, offsets)
+    sizes = offsets.agg(F.count(F.lit(1)).alias("n"), F.sum("n_segments").alias("s"), F.sum("n_edges").alias("e")).first()
+    n, segments, links = sizes["n"], sizes["s"] or 0, sizes["e"] or 0
+    a = dict(zip(ARRAYS, (f"{path}/{x}" for x in ARRAYS), strict=True))
+    write_column(members.select(F.col("segment").alias("index"), F.col("agglomerate").alias("value")), a[ARRAYS[0]], segments + 1, "uint64")
+    write_column(flat.select("index", F.col("segment").alias("value")), a[ARRAYS[2]], segments, dtype)
+    for name, start, total in ((ARRAYS[1], "segment_offset", segments), (ARRAYS[4], "edge_offset", links)):
+        end = offsets.sparkSession.createDataFrame([(n + 1, total)], "index long, value long")
+        write_column(offsets.select(F.col("agglomerate").alias("index"), F.col(start).alias("value")).unionByName(end), a[name], n + 2, "uint64")
+    at = flat.select("index", "segment")
+    placed = at.join(positions, "segment", "left") if positions is not None else at.withColumns(dict.fromkeys("xyz", F.lit(0)))
+    write_column(placed.select("index", *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in "xyz"]), a[ARRAYS[3]], segments, "int32", ("x", "y", "z"))
+    write_column(local.select("index", "a", "b"), a[ARRAYS[5]], links, dtype, ("a", "b"))
+    write_column(local.select("index", F.col("affinity").cast("float").alias("value")), a[ARRAYS[6]], links, "float32")
+
+
+def read_attachment(spark, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(segment, agglomerate), edges (agglomerate, source, target, affinity) and
+    positions (segment, x, y, z) of a folder of arrays."""
+    from .columns import read_column
+
+    get = lambda name, *columns: read_column(spark, f"{path}/{name}", columns or ("value",))
+    of = get(ARRAYS[0]).where("index > 0").select(F.col("index").alias("segment"), F.col("value").alias("agglomerate"))
+    listed = get(ARRAYS[2]).withColumnRenamed("value", "segment")
+    flat = listed.join(of, "segment").select("index", "segment", "agglomerate")
+    starts = get(ARRAYS[4]).withColumnRenamed("value", "start")
+    ends = starts.select((F.col("index") - 1).alias("index"), F.col("start").alias("end"))
+    owner = starts.join(ends, "index").where("index > 0 and start < end")
+    owner = owner.select(F.col("index").alias("agglomerate"), F.explode(F.sequence("start", F.col("end") - 1)).alias("index"))
+    local = get(ARRAYS[5], "a", "b").join(get(ARRAYS[6]).withColumnRenamed("value", "affinity"), "index").join(owner, "index")
+    members, edges = from_flat(flat, local)
+    where = get(ARRAYS[3], "x", "y", "z").join(listed, "index").select("segment", "x", "y", "z")
+    return members, edges, where
+
+
 def validate(segments: DataFrame) -> DataFrame:
     """One row: whether ids are the whole numbers from 1 to their count."""
     return segments.agg((F.min("segment") == 1).alias("from_one"), (F.countDistinct("segment") == F.max("segment")).alias("dense"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from latticeflow.functions import affine, scalars
 from latticeflow.functions.geometry import Box, Vec, ceil_div, floor_div, mag, mag_name
+from latticeflow.operators import graph
 from latticeflow.plans import schedule
 
 small = st.integers(-50, 50)
@@ -107,3 +108,36 @@ def test_scalars(spark):
     assert tuple(got) == ("/a/c/d", "..", "largestSegmentId", "./color", "number", "string[]", "uint8", "uint24")
     with pytest.raises(Exception, match="unknown length unit"):
         one.select(scalars.unit_name(F.lit("furlong"))).collect()
+
+
+def test_small_settings(spark):
+    import colorsys
+    import time
+
+    assert scalars.job_resources("cpus-per-task=4, mem=2.5,queue=long") == {"cpus_per_task": 4, "mem": 2.5, "queue": "long"}
+    assert scalars.job_resources('{"a": 1}') == {"a": 1}
+    with pytest.raises(ValueError):
+        scalars.job_resources("nothing")
+    assert tuple(schedule.buffer_shape((1024, 128, 600))) == (512, 128, 512)
+    assert tuple(schedule.shard_shape((32, 32, 32), chunks_per_shard=(4, 4, 1))) == (128, 128, 32) and schedule.shard_shape() is None
+    for bad in ({"shard": (33, 32, 32)}, {"shard": (32, 32, 32), "chunks_per_shard": (1, 1, 1)}):
+        with pytest.raises(ValueError):
+            schedule.shard_shape(**bad)
+    schedule.check_chunk_shape((64, 64, 64), (2, 2, 1), (32, 32, 32))
+    for shape in ((64, 64, 48), (0, 64, 64)):
+        with pytest.raises(ValueError):
+            schedule.check_chunk_shape(shape, (2, 2, 1), (32, 32, 32))
+    row = spark.range(50).select(scalars.epoch_ms().alias("now"), scalars.random_color(3).alias("c")).collect()
+    assert abs(row[0]["now"] / 1000 - time.time()) < 60
+    for r in row:
+        h, light, s = colorsys.rgb_to_hls(*r["c"][:3])
+        assert 0.399 <= light <= 0.601 and 0.499 <= s <= 1.001 and r["c"][3] == 1.0
+    assert len({tuple(r["c"]) for r in row}) == 50
+
+
+def test_import_graphs(spark):
+    nodes = spark.createDataFrame([("a", 7, 1, 1, 1), ("b", 7, 2, 2, 2), ("b", 3, 0, 0, 0)], "tree string, node long, x int, y int, z int")
+    edges = spark.createDataFrame([("b", 7, 3, "red")], "tree string, source long, target long, color string")
+    made, links = graph.import_graphs(nodes, edges, first=10)
+    assert sorted((r["tree"], r["id"], r["node"], r["radius"]) for r in made.collect()) == [("a", 10, 7, 1.0), ("b", 11, 3, 1.0), ("b", 12, 7, 1.0)]
+    assert [tuple(r) for r in links.collect()] == [("b", 12, 11)]

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from latticeflow import cli
 from latticeflow.api import Dataset
 from latticeflow.functions.geometry import Box, mag_name
-from latticeflow.sources import arrays, codecs, datasource, metadata, nml, volumes
+from latticeflow.operators import graph
+from latticeflow.sources import agglomerate, arrays, codecs, columns, datasource, images, metadata, nml, volumes
 from latticeflow.sources.files import put
 from latticeflow.streaming import slices
 from tests.test_operators import array, table
@@ -248,3 +249,120 @@ def test_boxes_are_those_of_arrays_and_images(spark, root):
         put(f"{root}/images/s{z}.tif", volumes.tiff_bytes(page))
     assert volumes.stack_shape(spark, f"{root}/images") == (9, 7, 3)
     assert tuple(Dataset.from_images(spark, f"{root}/images", f"{root}/ds2").layers["color"].box.high) == (9, 7, 3)
+
+
+def png(page, bits=8, filters=(0,)):
+    """A PNG of page (y, x, samples) whose lines take turns with filters."""
+    import zlib
+
+    h, w, n = page.shape
+    raw = page.astype(">u2" if bits == 16 else "u1").tobytes()
+    step, wide = n * bits // 8, w * n * bits // 8
+    lines, above = [], bytes(wide)
+    for y in range(h):
+        line, kind = raw[y * wide : (y + 1) * wide], filters[y % len(filters)]
+        out = bytearray()
+        for k, v in enumerate(line):
+            a, b, c = (line[k - step] if k >= step else 0), above[k], (above[k - step] if k >= step else 0)
+            p = a + b - c
+            guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            out.append((v - (0, a, b, (a + b) // 2, guess)[kind]) & 255)
+        lines.append(bytes([kind]) + bytes(out))
+        above = line
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", w, h, bits, {1: 0, 2: 4, 3: 2, 4: 6}[n], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(b"".join(lines))) + part(b"IEND", b"")
+
+
+def lzw_bytes(data):
+    """TIFF's LZW by the book."""
+    out, width = [], 9
+    table = {bytes([k]): k for k in range(256)}
+    out.append((256, 9))
+    n, now = 258, b""
+    for v in data:
+        more = now + bytes([v])
+        if more in table:
+            now = more
+            continue
+        out.append((table[now], width))
+        table[more] = n
+        n += 1
+        width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+        if n == 4094:
+            out.append((256, width))
+            table, n, width = {bytes([k]): k for k in range(256)}, 258, 9
+        now = bytes([v])
+    if now:
+        out.append((table[now], width))
+        n += 1
+        width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+    out.append((257, width))
+    bits = "".join(f"{c:0{w}b}" for c, w in out)
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8)
+
+
+def test_images(spark, root):
+    g = np.random.default_rng(4)
+    for bits, samples in ((8, 1), (8, 3), (8, 4), (16, 1), (16, 2)):
+        page = g.integers(0, 1 << bits, (7, 9, samples))
+        assert (images.png_pixels(png(page, bits, (0, 1, 2, 3, 4))) == page).all()
+    for data in (b"", b"a", b"abababababab" * 50, bytes(g.integers(0, 256, 9000, dtype=np.uint8)), bytes(20000)):
+        assert images.lzw(lzw_bytes(data)) == data
+    stack = g.integers(0, 255, (3, 7, 9, 3))
+    for z in range(3):
+        put(f"{root}/stack/im{z}.PNG", png(stack[z], filters=(4, 2)))
+    put(f"{root}/stack/readme.txt", b"no image")
+    assert volumes.stack_shape(spark, f"{root}/stack") == (9, 7, 3)
+    got = {tuple(r)[:4]: r["v"] for r in volumes.read_tiff_stack(spark, f"{root}/stack", channel=None).collect()}
+    assert got == {(c, x, y, z): int(stack[z, y, x, c]) for z, y, x, c in np.argwhere(stack).tolist()}
+    assert images.possible_layers(1) == {} and images.possible_layers(2, 3) == {"channel": [0, 1], "timepoint": [0, 1, 2]} and images.possible_layers(3) == {}
+
+
+def test_columns(spark, root):
+    rows = [(i, i * 3) for i in range(0, 5000, 7)]
+    df = spark.createDataFrame(rows, "index long, value long")
+    written = columns.write_column(df, f"{root}/a", 6000, "uint32", chunk_bytes=400, shard_bytes=4000)
+    got = {r["index"]: r["value"] for r in columns.read_column(spark, f"{root}/a").collect()}
+    assert got == dict.fromkeys(range(6000), 0) | dict(rows) and written == 5
+    wide = spark.createDataFrame([(3, 1.5, 2.5)], "index long, a double, b double")
+    columns.write_column(wide, f"{root}/b", 5, "float32", ("a", "b"))
+    assert sorted(map(tuple, columns.read_column(spark, f"{root}/b", ("a", "b")).collect()))[3:] == [(3, 1.5, 2.5), (4, 0.0, 0.0)]
+
+
+def test_agglomerate_attachment(spark, root):
+    segments = spark.range(1, 10).withColumnRenamed("id", "segment")
+    edges = spark.createDataFrame([(1, 4, 0.5), (4, 9, 0.25), (2, 3, 1.0), (6, 7, 0.75)], "source long, target long, affinity double")
+    places = spark.createDataFrame([(4, 40, 41, 42)], "segment long, x int, y int, z int")
+    members = graph.agglomerates(segments, edges)
+    agglomerate.write_attachment(members, edges, f"{root}/agg", places)
+    of, links, where = agglomerate.read_attachment(spark, f"{root}/agg")
+    assert {tuple(r) for r in of.collect()} == {tuple(r) for r in members.select("segment", "agglomerate").collect()}
+    assert {(*sorted((r["source"], r["target"])), r["affinity"]) for r in links.collect()} == {tuple(r) for r in edges.collect()}
+    assert {tuple(r) for r in where.where("x > 0").collect()} == {(4, 40, 41, 42)}
+    ds = Dataset(spark, f"{root}/ds")
+    layer = ds.add_layer("seg", "segmentation", Box.of(0, (4, 4, 4)))
+    layer.add_attachment("agglomerates", "main", f"{root}/agg", copy=True)
+    again = Dataset.open(spark, f"{root}/ds").layers["seg"]
+    assert agglomerate.read_attachment(spark, again.attachment("agglomerates", "main")["path"])[0].count() == 9
+    with pytest.raises(ValueError, match="exists"):
+        layer.add_attachment("agglomerates", "main", "elsewhere")
+    layer.rename_attachment("agglomerates", "main", "other")
+    layer.delete_attachment("agglomerates", "other", files=True)
+    put(f"{layer.path}/agglomerates/old.hdf5", b"x")
+    put(f"{layer.path}/agglomerates/cumsum.json", b"{}")
+    assert [(a["kind"], a["name"]) for a in layer.detect_attachments()] == [("agglomerates", "old"), ("cumsum", "cumsum")]
+
+
+def test_layers_of_files_that_are_there(spark, cube, root):
+    arrays.write_zarr3(table(spark, cube), f"{root}/array", SHAPE, "uint16", (8, 8, 8), (16, 16, 16))
+    ds = Dataset(spark, f"{root}/ds")
+    layer = ds.add_layer("a", "color", Box.of(0, (1, 1, 1)), dtype="uint16", data_format="zarr3")
+    layer.add_mag_from_files(1, f"{root}/array")
+    assert tuple(layer.box.high) == SHAPE and (array(layer.mags["1"].table(), SHAPE) == cube).all()
+    with pytest.raises(ValueError, match="exists"):
+        layer.add_mag_from_files(1, f"{root}/array")
+    copy = ds.shallow_copy(f"{root}/shallow")
+    assert (array(Dataset.open(spark, f"{root}/shallow").layers["a"].mags["1"].table(), SHAPE) == cube).all()
+    assert copy.layers["a"].mags["1"].used_storage() > 0
