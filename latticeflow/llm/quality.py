@@ -27,9 +27,6 @@ HASH_BITS, FIT_ROWS = 12, 8_000
 REJECT = 0.5
 #: What EM starts from: the share of good documents and how far a vote is trusted.
 START_GOOD, START_ACCURACY = 0.8, 0.95
-#: A labeller calls at most this share of good documents bad. Kinds of bad text
-#: seldom overlap, so without such a bound EM may take one kind for the bad class.
-MAX_FALSE = 0.02
 _MARK = re.compile(r"[^\w\s.,;:?'\"()\-|]")
 _LETTERS = re.compile(r"[^\W_]+")
 _ALNUM = re.compile(r"[^\W_]")
@@ -98,7 +95,6 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[flo
         mass = np.stack(((1 - post) * counts, post * counts))
         before = p
         p = ((mass @ votes_good + 1e-3) / (mass @ voted + 2e-3)).T
-        p[:, 1] = np.maximum(p[:, 1], 1 - MAX_FALSE)
         good = float(np.clip(mass[1].sum() / mass.sum(), 0.02, 0.98))
         post = posterior(patterns, good, p)
         if np.abs(p - before).max() < 1e-6:
@@ -171,7 +167,8 @@ def train_linear(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float =
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
     """Votes are counted over all documents; the scorer is trained on at most
-    fit_rows of them, those whose ids have the smallest hash. Null and empty
+    fit_rows of them, those whose ids have the smallest hash (of rows that share
+    an id only the one of smallest text hash, so fit_rows holds whatever repeats). Null and empty
     texts get the vote of the last labeller only (bad). An empty table gives a
     model that calls everything good."""
     vote_schema = T.StructType(
@@ -207,7 +204,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_row
         return {"x": xs, "y": ys}
 
     # At most fit_rows ids are broadcast.
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("text")
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+    picked = picked.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text")
     got = arrow_map(picked, featurise, schema).toArrow()
     packed, y = got.column("x").to_pylist(), got.column("y").to_numpy()
     order = sorted(range(len(packed)), key=lambda i: (packed[i], y[i]))  # the same sums whichever task came first

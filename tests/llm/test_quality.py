@@ -51,3 +51,47 @@ def test_odd_rows(spark):
     assert kept.count() == sum(judged[r[0]] for r in rows)
     empty = quality.fit(docs.limit(0))
     assert empty.score("") > 0.99 and quality.score(docs.limit(0), model).count() == 0
+
+
+def em_by_hand(patterns, counts, rounds=60):
+    """EM in plain loops, one document pattern and one labeller at a time."""
+    good = quality.START_GOOD
+    post = [1 - quality.START_ACCURACY if 0 in p else quality.START_ACCURACY for p in patterns]
+    for _ in range(rounds):
+        acc = []
+        for j in range(len(patterns[0])):
+            row = []
+            for mass in ([1 - q for q in post], post):
+                yes = sum(m * c for m, c, p in zip(mass, counts, patterns, strict=True) if p[j] == 1)
+                said = sum(m * c for m, c, p in zip(mass, counts, patterns, strict=True) if p[j] >= 0)
+                row.append((yes + 1e-3) / (said + 2e-3))
+            acc.append(row)
+        good = min(0.98, max(0.02, sum(q * c for q, c in zip(post, counts, strict=True)) / sum(counts)))
+        new = []
+        for p in patterns:
+            odds = good / (1 - good)
+            for j, v in enumerate(p):
+                a = [min(1 - 1e-6, max(1e-6, x)) for x in acc[j]]
+                odds *= a[1] / a[0] if v == 1 else (1 - a[1]) / (1 - a[0]) if v == 0 else 1
+            odds = min(np.exp(30), max(np.exp(-30), odds))
+            new.append(odds / (1 + odds))
+        post = new
+    return good, np.array(acc), np.array(post)
+
+
+def test_em_on_the_documents_against_plain_loops(spark, data):
+    texts = [r["text"] for r in table(spark, data, "documents").collect()]
+    seen = {}
+    for t in texts:
+        key = tuple(quality.votes(quality.measures(t)))
+        seen[key] = seen.get(key, 0) + 1
+    patterns, counts = [list(k) for k in sorted(seen)], [seen[k] for k in sorted(seen)]
+    good, acc, post = em_by_hand(patterns, counts)
+    share, p = quality.em(np.array(patterns), np.array(counts, float))
+    assert abs(share - good) < 1e-3 and np.abs(p - acc).max() < 1e-2
+    assert np.abs(quality.posterior(np.array(patterns), share, p) - post).max() < 1e-2
+    model = quality.fit(table(spark, data, "documents"))
+    said = {r["id"]: r["good"] for r in quality.score(table(spark, data, "documents"), model).collect()}
+    of = {tuple(k): v for k, v in zip(patterns, post, strict=True)}
+    want = {r["doc_id"]: of[tuple(quality.votes(quality.measures(r["text"])))] >= quality.REJECT for r in table(spark, data, "documents").collect()}
+    assert sum(said[i] == want[i] for i in want) >= 0.98 * len(want)

@@ -66,3 +66,37 @@ def test_labels_of_held_out_rows_do_not_matter(spark, data):
     flipped = seen.unionByName(labels.where(toxicity.held_out("doc_id")).selectExpr("doc_id", "quality", "1 - toxic AS toxic")).where(~toxicity.held_out("doc_id"))
     a, b = toxicity.fit(docs, seen), toxicity.fit(docs, flipped)
     assert a.lexicon == b.lexicon and np.allclose(a.weights, b.weights)
+
+
+def by_hand(s, text):
+    """Features by looking for every pattern at every place."""
+    folded = toxicity.fold(text)
+
+    def at(p):
+        found, i = [], folded.find(p)
+        while i >= 0:
+            found.append(i)
+            i = folded.find(p, i + 1)
+        return found
+
+    harmless = [(i, i + len(toxicity.fold(p)) - 1) for p in s.exceptions for i in at(toxicity.fold(p))]
+    best = {}
+    for p, w in s.lexicon.items():
+        for i in at(p):
+            if not any(a <= i < b for a, b in harmless):
+                best[i] = max(w, best.get(i, 0.0))
+    words = max(1, len(folded.split()))
+    return [1.0, max(best.values(), default=0.0), np.log1p(len(best)), np.log1p(100 * sum(best.values()) / words)]
+
+
+def test_every_document_against_matching_by_hand(spark):
+    data = "/root/testdata/sf0.01"
+    docs = table(spark, data, "documents")
+    s = toxicity.fit(docs, table(spark, data, "labels").where(~toxicity.held_out("doc_id")))
+    assert s.lexicon
+    want = {}
+    for r in docs.collect():
+        z = float(np.dot(s.weights, by_hand(s, r["text"])))
+        want[r["doc_id"]] = 1 / (1 + np.exp(-max(-30.0, min(30.0, z))))
+    got = {r["id"]: r["score"] for r in toxicity.score(docs, s).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
