@@ -43,6 +43,15 @@ def _slices(batch: pa.RecordBatch | pa.Array, slice_bytes: int) -> Iterator:
         yield batch.slice(at, step)
 
 
+#: Rows of ids up to which the smaller side of a join is broadcast (some 30 MB); beyond, it is a shuffled join.
+BROADCAST_ROWS = 500_000
+
+
+def light(df: DataFrame) -> DataFrame:
+    """df (a written table of ids and keys), to be broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def arrow_map(
     df: DataFrame,
     fn: Callable[[pa.RecordBatch], dict | None],

@@ -31,7 +31,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bytes of benchmark text of one index, which is broadcast; larger benchmarks take a pass over the documents for each.
 INDEX_BYTES = 16 << 20
 #: Bits of a fingerprint, and how many may differ. Pairs right at a similarity of
-#: 0.8 differ in 40 of 256 bits on average (standard deviation 6), others in 128 (8).
+#: 0.8 differ in about 35 of 256 bits (53 at most of 1,600), others in 128 (standard deviation 8).
 BITS, RADIUS = 256, 80
 #: Blocks of eight bits; a block that differs in e of them scores max(0, 1 + FREE - e).
 #: Fingerprints within RADIUS score at least NEED in all: their e add up to no more than RADIUS.

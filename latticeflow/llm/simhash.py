@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Table, arrow_map, fresh
+from .common import Table, arrow_map, fresh, light
 from .components import components
 
 RADIUS = 4
@@ -560,7 +560,7 @@ def similar_rows(
         return {"ref": batch.column(0), "group": batch.column(1), "shingles": found}
 
     set_schema = T.StructType([T.StructField("ref", T.LongType()), T.StructField("group", T.LongType()), T.StructField("shingles", T.BinaryType())])
-    at = wanted.select(F.col("id").alias("_id"), "key", "ref", "group")
+    at = light(wanted.select(F.col("id").alias("_id"), "key", "ref", "group"))
     texts = keyed.join(at, (keyed["key"] == at["key"]) & keyed["id"].eqNullSafe(at["_id"])).select("ref", "group", "text")
     # Rows that repeat an id and its text give a set again.
     by_blocks = arrow_map(texts, sets, set_schema).groupBy("ref", "group").agg(F.min("shingles").alias("shingles"))
@@ -633,7 +633,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     found = Table(found.where("id is not null"), "found").df
     k, n = fresh("_key", docs.columns), fresh("_n", docs.columns)
     gone = found.where((F.col("id") != F.col("component")) | (F.col("key") != F.col("first"))).select(F.col("id").alias(id_col), F.col("key").alias(k))
-    kept = docs.withColumn(k, text_key(F.col(text_col))).join(gone.distinct(), [id_col, k], "left_anti")
+    kept = docs.withColumn(k, text_key(F.col(text_col))).join(light(Table(gone.distinct(), "gone").df), [id_col, k], "left_anti")
     twice = found.groupBy(F.col("id").alias(id_col), F.col("key").alias(k)).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1)
     if not twice.isEmpty():
         marked = kept.join(twice, [id_col, k], "left")

@@ -136,4 +136,4 @@ def test_recall_of_the_radius_at_the_threshold():
             both = g.integers(0, 2**63, n + n // 9, dtype=np.uint64)
             a, b = d.fingerprint(both[:n]), d.fingerprint(both[n // 9 :])
             far.append(int(np.bitwise_count(a ^ b).sum()))
-        assert max(far) <= d.RADIUS - 8  # 3,200 pairs were at most 64 bits apart
+        assert max(far) <= d.RADIUS - 8
