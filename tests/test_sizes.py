@@ -1,8 +1,11 @@
 """Work and memory follow what is stored, not the boxes around it."""
 
+import tracemalloc
+
 import numpy as np
 
 from latticeflow.operators import region, resample
+from latticeflow.sources import nml
 
 
 def _plan(df):
@@ -40,3 +43,18 @@ def test_a_chunk_of_few_voxels_is_packed_as_those(spark):
     flat = full.ravel(order="F")
     data = region.pack_voxels(full.shape, np.arange(64), flat)
     assert data[:1] == b"i" and (region.unpack_chunk(full.shape, data) == full).all() and (region.unpack_voxels(data)[1] == flat).all()
+
+
+def test_nml_files_are_written_from_columns(spark):
+    n = 20000
+    node = [(i, float(i), 0.5, 2.0, "a<b" if i == 7 else None) for i in range(n, 0, -1)]
+    nodes = spark.createDataFrame([("f", 5, *v) for v in node] + [("f", 2, 1, 1.0, 1.0, 1.0, None)], "file string, tree long, id long, x double, y double, z double, comment string")
+    edges = spark.createDataFrame([("f", 5, 2, 3), ("f", 5, 1, 2)], "file string, tree long, source long, target long")
+    (row,) = nml.assemble(nodes, edges)._collect_as_arrow()
+    tracemalloc.start()
+    text = nml.serialise(row)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 800 * n  # as dicts the nodes alone take more than that
+    assert text.index('<thing id="2"') < text.index('<thing id="5"') and text.index('<node id="2"') < text.index('<node id="3"')
+    assert '<comment node="7" content="a&lt;b" />' in text and text.index('source="1"') < text.index('source="2"')
