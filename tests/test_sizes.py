@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 
 from latticeflow.operators import region, resample
-from latticeflow.sources import nml
+from latticeflow.sources import arrays, files, nml, volumes
 
 
 def _plan(df):
@@ -58,3 +58,30 @@ def test_nml_files_are_written_from_columns(spark):
     assert peak < 800 * n  # as dicts the nodes alone take more than that
     assert text.index('<thing id="2"') < text.index('<thing id="5"') and text.index('<node id="2"') < text.index('<node id="3"')
     assert '<comment node="7" content="a&lt;b" />' in text and text.index('source="1"') < text.index('source="2"')
+
+
+def test_files_hold_what_is_stored(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    vox = spark.createDataFrame([(300001, 40003, 2, 9), (5, 130, 2, 7)], "x long, y long, z long, v long")
+    want = sorted(map(tuple, vox.collect()))
+    size = lambda p: sum(f.stat().st_blocks * 512 for f in (tmp_path / p).rglob("*.*") if f.is_file())
+    arrays.write_wkw(vox, f"{root}/w", "uint8", 32, 4)
+    assert sorted(map(tuple, arrays.read_array(spark, f"{root}/w").collect())) == want and size("w") < 100_000
+    volumes.write_cubes(vox, f"{root}/c")
+    assert sorted(map(tuple, volumes.read_cubes(spark, f"{root}/c").collect())) == want and size("c") < 300_000
+    assert {f.stat().st_size for f in (tmp_path / "c").rglob("*.raw")} == {128**3}
+    volumes.write_tiff_slices(vox, f"{root}/t", (300002, 40004))
+    assert sorted(map(tuple, volumes.read_tiff_stack(spark, f"{root}/t").collect())) == [(5, 130, 0, 7), (300001, 40003, 0, 9)] and size("t") < 1_000_000
+
+
+def test_arrays_end_where_their_voxels_do_and_many_files_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}"
+    monkeypatch.setattr(files, "LISTED", 1)
+    vox = spark.createDataFrame([(64 * i, i, i % 3, i + 1) for i in range(40)], "x long, y long, z long, v long")
+    want = sorted(map(tuple, vox.collect()))
+    arrays.write_zarr3(vox, f"{root}/z", None, "uint16", (8, 8, 8), (16, 16, 8))
+    arrays.write_zarr2(vox, f"{root}/y", None, "<u2", (16, 16, 8))
+    for name in "zy":
+        got = arrays.read_array(spark, f"{root}/{name}")
+        assert sorted(map(tuple, got.collect())) == want and tuple(arrays.array_box(f"{root}/{name}").high) == (2497, 40, 3)
+    assert arrays.read_array(spark, f"{root}/z").inputFiles() == []
