@@ -3,8 +3,10 @@
 import tracemalloc
 
 import numpy as np
+import pytest
 
 from latticeflow.operators import region, resample
+from latticeflow.plans import queries
 from latticeflow.sources import arrays, files, nml, volumes
 
 
@@ -85,3 +87,60 @@ def test_arrays_end_where_their_voxels_do_and_many_files_are_listed_by_tasks(spa
         got = arrays.read_array(spark, f"{root}/{name}")
         assert sorted(map(tuple, got.collect())) == want and tuple(arrays.array_box(f"{root}/{name}").high) == (2497, 40, 3)
     assert arrays.read_array(spark, f"{root}/z").inputFiles() == []
+
+
+def test_parts_of_chunks_take_few_bytes():
+    g = np.random.default_rng(5)
+    at = np.sort(g.choice(128 * 128 * 8, 480, replace=False))
+    for v in (g.integers(1, 51, 480), g.integers(-9, 9, 480), g.integers(-(1 << 62), 1 << 62, 480), g.integers(0, 99, 480) / 8, g.random(480)):
+        data = region.pack_part(at, v)
+        got_at, got = region.unpack_part(data)
+        assert (got_at == at).all() and (got == v).all() and got.dtype == v.dtype
+    assert len(region.pack_part(at, g.integers(1, 51, 480))) <= 1 + 3 * 480
+    far = np.array([0, (1 << 62) + 5])
+    assert (region.unpack_part(region.pack_part(far, np.array([(1 << 63) - 1, -(1 << 63)])))[0] == far).all()
+
+
+def test_voxels_are_packed_by_chunk_before_they_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(region, "PACK_ROWS", 700)
+    g = np.random.default_rng(6)
+    rows = [(*p, v) for p, v in zip(g.integers(-40, 40, (3000, 3)).tolist(), g.integers(-3, 9, 3000).tolist(), strict=True)]
+    vox = spark.createDataFrame(rows, "x long, y long, z long, v long").repartition(3)
+    parts = region.by_chunk(vox, (16, 16, 16), merge="max")
+    assert parts.columns == ["cx", "cy", "cz", "part"] and _plan(parts).split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 1
+    want = {}
+    for *p, v in rows:
+        want[tuple(p)] = max(v, want.get(tuple(p), v))
+    got = region.merged(vox, (16, 16, 16)).collect()
+    assert len(got) == len({tuple(r)[:3] for r in got}) and {tuple(r)[:3]: r["v"] for r in got} == {p: v for p, v in want.items() if v}
+    once = region.from_chunks(region.to_chunks(spark.createDataFrame([(*p, v) for p, v in want.items()], vox.schema), (16, 16, 16))).collect()
+    assert sorted(map(tuple, once)) == sorted(map(tuple, got))
+
+
+def test_writers_keep_the_greatest_of_each_place(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    lines = spark.createDataFrame([(5, 130, 2, 7), (5, 130, 2, 9), (5, 130, 2, None), (300, 4, 2, 0), (300, 4, 2, 3), (6, 6, 6, 0)], "x long, y long, z long, v long").repartition(4)
+    arrays.write_zarr3(lines, f"{root}/z", None, "uint16", (8, 8, 8), (16, 16, 8), merge="max")
+    arrays.write_zarr3(lines, f"{root}/f", None, "uint16", (8, 8, 8), (16, 16, 8), merge="max", separator=".")
+    arrays.write_wkw(lines, f"{root}/w", "uint8", 8, 2, merge="max")
+    volumes.write_cubes(lines, f"{root}/c", merge="max")
+    for got in (*(arrays.read_array(spark, f"{root}/{k}") for k in "zfw"), volumes.read_cubes(spark, f"{root}/c")):
+        assert sorted(map(tuple, got.collect())) == [(5, 130, 2, 9), (300, 4, 2, 3)]
+    assert sorted(p.name for p in (tmp_path / "f").iterdir()) == ["c.0.8.0", "c.18.0.0", "zarr.json"]
+    with pytest.raises(ValueError, match="merge"):
+        arrays.write_wkw(lines, f"{root}/x", merge="least")
+
+
+@pytest.mark.parametrize("name", ["cube_roundtrip"])
+def test_round_trips_shuffle_packed_chunks_only(spark, data, monkeypatch, name):
+    plans, by_chunk = [], region.by_chunk
+
+    def seen(*a, **b):
+        plans.append(_plan(found := by_chunk(*a, **b)).split("== Physical Plan ==")[1])
+        return found
+
+    monkeypatch.setattr(region, "by_chunk", seen)
+    queries.QUERIES[name](spark, data)
+    assert plans
+    for p in plans:  # rows of voxels are no longer dealt for an aggregate
+        assert "Aggregate" not in p and p.count("Exchange hashpartitioning(cx") == p.count("Exchange ")
