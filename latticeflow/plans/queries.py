@@ -834,7 +834,7 @@ def zarr2_roundtrip(spark, d):
 @query(_STORED)
 def wkw_roundtrip(spark, d):
     path = new_path(spark, "wkw")
-    arrays.write_wkw(vox(spark, d), path, "uint8", 32, 4)
+    arrays.write_wkw(points(spark, d), path, "uint8", 32, 4, merge="max")
     return arrays.read_array(spark, path)
 
 
