@@ -131,7 +131,7 @@ def test_writers_keep_the_greatest_of_each_place(spark, tmp_path):
         arrays.write_wkw(lines, f"{root}/x", merge="least")
 
 
-@pytest.mark.parametrize("name", ["cube_roundtrip", "read_bbox_zarr3", "wkw_roundtrip", "float_roundtrip"])
+@pytest.mark.parametrize("name", ["cube_roundtrip", "read_bbox_zarr3", "wkw_roundtrip", "float_roundtrip", "nd_read"])
 def test_round_trips_shuffle_packed_chunks_only(spark, data, monkeypatch, name):
     plans, by_chunk = [], region.by_chunk
 
@@ -144,3 +144,9 @@ def test_round_trips_shuffle_packed_chunks_only(spark, data, monkeypatch, name):
     assert plans
     for p in plans:  # rows of voxels are no longer dealt for an aggregate
         assert "Aggregate" not in p and p.count("Exchange hashpartitioning(cx") == p.count("Exchange ")
+
+
+def test_nd_read_makes_no_folder_for_a_shard(spark, data, monkeypatch, tmp_path):
+    monkeypatch.setattr(queries, "new_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    assert queries.QUERIES["nd_read"](spark, data).count()
+    assert not [p for p in (tmp_path / "nd").iterdir() if p.is_dir()]
