@@ -131,7 +131,7 @@ def test_writers_keep_the_greatest_of_each_place(spark, tmp_path):
         arrays.write_wkw(lines, f"{root}/x", merge="least")
 
 
-@pytest.mark.parametrize("name", ["cube_roundtrip", "read_bbox_zarr3", "wkw_roundtrip", "float_roundtrip", "nd_read", "channel_roundtrip"])
+@pytest.mark.parametrize("name", ["cube_roundtrip", "read_bbox_zarr3", "wkw_roundtrip", "float_roundtrip", "nd_read", "channel_roundtrip", "zarr3_roundtrip"])
 def test_round_trips_shuffle_packed_chunks_only(spark, data, monkeypatch, name):
     plans, by_chunk = [], region.by_chunk
 
